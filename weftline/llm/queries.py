@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, quality, sketch
+from . import langid, lines, media, mixing, packing, quality, sketch, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op6_quality(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op7_lines(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.op8_fingerprint(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.op9_urls(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mixing(spark, _table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_media": op5_media,
     "op6_quality": op6_quality,
+    "op7_lines": op7_lines,
     "op8_fingerprint": op8_fingerprint,
+    "op9_urls": op9_urls,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_lines": lines.OP7_SQL}
