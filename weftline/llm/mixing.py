@@ -136,3 +136,16 @@ def mix(spark: SparkSession, documents: DataFrame, weights: list[float] = (3, 1,
 
 def op10_mixing(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return mix(spark, documents).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def take_copies(spark: SparkSession, documents: DataFrame, **how) -> DataFrame:
+    """The documents as often as the mix takes them; columns as they are. Repeated rows are told apart by number, so each gets copies of its own."""
+    key = ["doc_id", "source", "_size"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("_size"))
+    names = documents.columns
+    mine = documents.withColumn("_size", word_count(F.col("text").cast("string"))).withColumn("_no", number)
+    got = mix(spark, documents, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), "copies")
+    got = got.withColumn("_no", F.row_number().over(Window.partitionBy("_d", "_s", "_size").orderBy(F.desc("copies")))).withColumnRenamed("_size", "_z").withColumnRenamed("_no", "_k")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_no") == F.col("_k"))
+    both = mine.join(got.where("copies > 0"), same)
+    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*names)

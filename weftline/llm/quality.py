@@ -277,3 +277,12 @@ def op6_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) ->
     stats = scratch.table(with_statistics(documents, ["doc_id"]))
     model = train(scratch.table(labelled(stats.where(~held_out()), labels)))
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents that score ``least`` or more, by a model of all labelled ones; columns as they are."""
+    scratch = Scratch(spark, "quality")
+    stats = scratch.table(labelled(with_statistics(documents, ["doc_id"]), labels))
+    names = documents.columns
+    scored = score(with_statistics(documents, names), train(stats))
+    return scored.where(F.col(scored.columns[-1]) >= least).select(*names)
