@@ -22,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 #: Words that one of a Python worker's two generations of remembered words holds, and the bytes of the longest.
-CACHE_WORDS, CACHE_BYTES = 500_000, 40
+CACHE_WORDS, CACHE_BYTES = 350_000, 32
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
 
@@ -45,6 +46,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.ends[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -52,29 +55,47 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters: many go through the tokenizer as one text, told apart by the tokens that end a word."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # a letter that becomes several when lower-cased
+                out += self.encode(part)
+                continue
+            flat, at = ids.tobytes(), 0
+            for e in ends:
+                out.append(flat[at:e])
+                at = e
+        return out
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A look-up that holds the words; words ending in MARKS are put together from the word and the marks."""
         if len(self.young) + len(words) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old, parts, new = self.young, self.old, [], set()
+        young, old, parts, new, letters = self.young, self.old, [], set(), set()
         for w in words:
             if w in old:
                 young[w] = old[w]
                 continue
             core = w.rstrip(self.MARKS)
-            if len(core) < len(w) and core and core.decode().isalpha():
+            if not core or not core.decode().isalpha():
+                new.add(w)
+            elif len(core) == len(w):
+                letters.add(w)
+            else:
                 tail = w[len(core) :]
                 parts.append((w, core, tail))
-                for x in (core, tail):
+                for x, unknown in ((core, letters), (tail, new)):
                     if x not in young:
                         if x in old:
                             young[x] = old[x]
                         else:
-                            new.add(x)
-            else:
-                new.add(w)
-        new = list(new)
-        young.update(zip(new, self.encode(new), strict=True))
+                            unknown.add(x)
+        for unknown, encode in ((list(new), self.encode), (list(letters), self.encode_letters)):
+            young.update(zip(unknown, encode(unknown), strict=True))
         for w, core, tail in parts:
             young[w] = young[core] + young[tail]
         return young
@@ -100,24 +121,42 @@ def token_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """
     held, out = _words(path), []
     end = end_id.to_bytes(4, "little")
-    for lo in range(0, len(texts), 256):
-        parts = []
-        for t in texts[lo : lo + 256]:
-            data = (t or "").encode()
-            parts.append([p.split() for p in chunks(data if b"<|" in data else data.lower())])
-        known = held.young
-        new = {w for doc in parts for part in doc for w in part if w not in known}
-        if new:
-            known = held.learn(new)
-            if missing := {w for doc in parts for part in doc for w in part if w not in known}:  # a generation ended
-                known = held.learn(missing) if len(known) < CACHE_WORDS else known
-                known |= dict(zip(left := [w for w in missing if w not in known], held.encode(left), strict=True))
-        look = known.__getitem__
-        out += [b"".join([b"".join(map(look, part)) for part in doc]) + end for doc in parts]
-        held.forget_long(new)
+    group: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        if len(data) > CHUNK and group:
+            out += _group_bytes(held, group, end)
+            group, size = [], 0
+        group.append(data if b"<|" in data else data.lower())
+        size += len(data)
+        if size >= CHUNK // 2 or i + 1 == len(texts):
+            out += _group_bytes(held, group, end)
+            group, size = [], 0
     return out
 
 
+def _group_bytes(held: WordIds, group: list[bytes], end: bytes) -> list[bytes]:
+    """The group's texts; one beyond CHUNK bytes comes alone, and in parts."""
+    pieces: list[list[bytes]] = [[] for _ in group]
+    parts = [(i, part) for i, data in enumerate(group) for part in chunks(data)] if len(group) == 1 else list(enumerate(group))
+    for some in ([x] for x in parts) if len(group) == 1 else [parts]:
+        words: list[bytes] = []
+        stops = []
+        for _, part in some:
+            words += part.split()
+            stops.append(len(words))
+        found = list(map(held.young.get, words))
+        if None in found:
+            known = held.learn({w for w, f in zip(words, found, strict=True) if f is None})
+            found = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        at = 0
+        for (i, _), stop in zip(some, stops, strict=True):
+            pieces[i].append(b"".join(found[at:stop]))
+            at = stop
+    return [b"".join(p) + end for p in pieces]
+
+
 def chunks(data: bytes) -> Iterator[bytes]:
     """The bytes, cut at ASCII white space into chunks of about CHUNK bytes."""
     i, n = 0, len(data)
