@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, spans, text_column
+from .common import crc_mod, spans, text_column, tidy
 
 BUCKETS = 1 << 13
 #: Bytes looked at together; longer texts are cut with an overlap, and their parts added up.
@@ -128,7 +128,7 @@ def _counts(documents: DataFrame) -> DataFrame:
                 rows.append((at.astype("<u2").tobytes(), share.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([labels, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "buckets", "shares"])
 
-    return documents.select("label", "text").mapInArrow(run, "label string, buckets binary, shares binary")
+    return documents.select("label", "text").mapInArrow(tidy(run), "label string, buckets binary, shares binary")
 
 
 def train(documents: DataFrame, per_language: int = 400, dim: int = 16, epochs: int = 8, precision: float = 0.99, seed: int = 7) -> LanguageModel | None:
@@ -195,7 +195,7 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
             rejected = score < model.threshold if model else np.ones(b.num_rows, bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected | ~letters)], names=schema.fieldNames())
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def held_out(n: int, rest: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, shuffle_width, spare_name
+from .common import Scratch, shuffle_width, spare_name, tidy
 
 KEY = ["h1", "h2"]
 
@@ -57,7 +57,7 @@ def keys(documents: DataFrame, min_chars: int = 20) -> DataFrame:
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), ids.take(at)], names=["h1", "h2", "doc_id"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(tidy(run), "h1 long, h2 long, doc_id long")
 
 
 class LineRuns:
@@ -161,7 +161,7 @@ def dedup_lines(spark: SparkSession, documents: DataFrame, min_chars: int = 20,
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def op7_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spare_name
+from .common import spare_name, tidy
 
 #: Rows of an image that are integrated at a time.
 STRIP = 1 << 15
@@ -170,7 +170,7 @@ def media_features(df: DataFrame, column: str = "media", tile: int = 16) -> Data
                 new = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def text_as_pgm(documents: DataFrame, width: int = 24, rows: int = 24) -> DataFrame:
@@ -188,7 +188,7 @@ def text_as_pgm(documents: DataFrame, width: int = 24, rows: int = 24) -> DataFr
                     media.append(encode_pgm(np.frombuffer(data.ljust(full, b"\xff"), np.uint8).reshape(-1, width)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, documents.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
+    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), documents.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def op5_media(documents: DataFrame) -> DataFrame:

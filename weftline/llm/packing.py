@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Words that one of a Python worker's two generations of remembered words holds, and the bytes of the longest.
-CACHE_WORDS, CACHE_BYTES = 350_000, 32
+CACHE_WORDS, CACHE_BYTES = 250_000, 32
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
 
@@ -199,7 +199,7 @@ def tokenize(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, en
                     names=PIECES.fieldNames(),
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
 class RoomTree:

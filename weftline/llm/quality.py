@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, crc_mod, spans, spare_name, text_column
+from .common import Scratch, crc_mod, spans, spare_name, text_column, tidy
 
 BLOCK = 1 << 20
 #: Kinds of bytes: 0 control, 1 a-z, 2 A-Z, 3 digit, 4 blank, 5 line end, 6 full stop, 7 comma, 8 !?, 9 |, 10 other ASCII, 11 beyond ASCII.
@@ -180,8 +180,8 @@ def _summed(rows: DataFrame, one: callable) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    parts = rows.select("stats", "label").mapInArrow(run, "part binary")
-    got = [np.frombuffer(r[0], "<f8") for r in parts.coalesce(64).mapInArrow(add, "part binary").collect()]  # 64 arrays at most
+    parts = rows.select("stats", "label").mapInArrow(tidy(run), "part binary")
+    got = [np.frombuffer(r[0], "<f8") for r in parts.coalesce(64).mapInArrow(tidy(add), "part binary").collect()]  # 64 arrays at most
     return np.sum(got, axis=0) if got else None
 
 
@@ -244,7 +244,7 @@ def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
             stats = statistics(data, offsets).astype("<f4")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.tobytes() for x in stats], pa.binary())], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def score(rows: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
@@ -257,7 +257,7 @@ def score(rows: DataFrame, model: QualityModel, column: str = "score") -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(unpacked(b)), pa.float64())], names=schema.fieldNames())
 
-    return rows.select(*keep, "stats").mapInArrow(run, schema)
+    return rows.select(*keep, "stats").mapInArrow(tidy(run), schema)
 
 
 def held_out(n: int = 5, rest: int = 0) -> Column:
@@ -282,7 +282,12 @@ def op6_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) ->
 def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents that score ``least`` or more, by a model of all labelled ones; columns as they are."""
     scratch = Scratch(spark, "quality")
-    stats = scratch.table(labelled(with_statistics(documents, ["doc_id"]), labels))
-    names = documents.columns
-    scored = score(with_statistics(documents, names), train(stats))
-    return scored.where(F.col(scored.columns[-1]) >= least).select(*names)
+    model = train(scratch.table(labelled(with_statistics(documents, ["doc_id"]), labels)))
+    rows = documents.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches):
+        for b in batches:
+            data, offsets, _ = text_column(b)
+            yield b.filter(pa.array(model.score(statistics(data, offsets)) >= least))
+
+    return rows.mapInArrow(tidy(run), rows.schema)

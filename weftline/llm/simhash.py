@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Lengths of the code's blocks from the lowest bit; what is left of 64 bits is free.
 BLOCKS = (23, 23, 7, 7)
@@ -151,7 +151,7 @@ def with_fingerprint(documents: DataFrame, words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int64())], names=["doc_id", "mark", "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, fp long")
 
 
 def _replicated(prints: DataFrame, how: callable, reach: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _replicated(prints: DataFrame, how: callable, reach: int) -> DataFrame:
                 who, at = how(fp.view(np.uint64), reach)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[who]), pa.array(at)], names=["fp", "anchor"])
 
-    return prints.select("fp").mapInArrow(run, "fp long, anchor long")
+    return prints.select("fp").mapInArrow(tidy(run), "fp long, anchor long")
 
 
 def links(prints: DataFrame, bits: int, scratch: Scratch, dense: int = 64) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width, spare_name
+from .common import shuffle_width, spare_name, tidy
 
 K = 128
 WORDS = 5
@@ -172,7 +172,7 @@ def with_next(documents: DataFrame, make: callable, schema: T.StructType) -> Dat
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 OP8 = T.StructType(

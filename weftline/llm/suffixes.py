@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_width, spans, text_column
+from .common import Scratch, shuffle_width, spans, text_column, tidy
 
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -368,8 +368,8 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
         if held:
             yield from settle(held)
 
-    dealt = texts.mapInArrow(find, "bucket long, blob binary").repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
-    found = scratch.table(dealt.mapInArrow(meet, FOUND))
+    dealt = texts.mapInArrow(tidy(find), "bucket long, blob binary").repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
+    found = scratch.table(dealt.mapInArrow(tidy(meet), FOUND))
     spark.sparkContext._jvm.System.gc()  # lets the first shuffle's files go before the next ones come
 
     ends = found.where("kind = 1").groupBy("d", "m").agg(F.collect_list(F.struct("a", "b")).alias("marks"))  # bounded by the text
@@ -410,9 +410,9 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
 
     # the same exchange of texts serves here and where the runs are cut out
     with_ends = texts.join(ends.hint("shuffle_hash"), ["d", "m"], "left").where("marks is not null")
-    contexts = with_ends.select("d", "m", "text", "marks").mapInArrow(fetch, "h long, d long, m long, x long, context binary")
+    contexts = with_ends.select("d", "m", "text", "marks").mapInArrow(tidy(fetch), "h long, d long, m long, x long, context binary")
     contexts = contexts.repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
-    runs = found.where("kind = 0").unionByName(contexts.mapInArrow(order, FOUND))
+    runs = found.where("kind = 0").unionByName(contexts.mapInArrow(tidy(order), FOUND))
     return runs.groupBy("d", "m").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
 
@@ -453,7 +453,7 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, length: int = 10
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans_, span), pa.array(kept, pa.binary())], names=["d", "n_bytes", "spans", "kept"])
 
     joined = texts.join(runs.hint("shuffle_hash"), ["d", "m"], "left").select("d", "m", "text", "runs")
-    out = joined.mapInArrow(cut, "d long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    out = joined.mapInArrow(tidy(cut), "d long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
     return out.select(F.when(F.col("d") != LEAST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept")
 
 
