@@ -8,9 +8,9 @@ bounds, one distributed aggregation an iteration over the histogram of sizes of
 depend on nothing else, so documents are aggregated before the first iteration).
 
 Rates are rounded into copies by error diffusion: the documents of a source, dealt by a hash into parts
-of about ``part`` rows, are walked from the largest to the smallest, each getting the whole number next
-to its rate that keeps the part's words nearest to what the rates ask for. What is left over a part is
-about the size of its smallest documents. A source of any size is spread over many parts.
+of about ``part`` rows, are walked from the largest to the smallest, each getting the whole number from 0
+to ``most`` that keeps the part's words nearest to what the rates ask for (so smaller documents make up
+for a much larger one). What is left over a part is about the size of its smallest documents. A source of any size is spread over many parts.
 
 Defined cases: a null text has size 0 and is taken as 0 words; a null source is a source of its own,
 ordered last; sources without words have target 0; an empty table gives no rows; repeated rows are
@@ -107,10 +107,10 @@ def copies(sized: DataFrame, state: DataFrame, base: float, most: float, part: i
     start = F.struct(F.lit(0.0).alias("off"), F.expr("cast(array() as array<int>)").alias("got"))
 
     def place(acc: Column, x: Column) -> Column:
-        size, low = -x["less"].cast("double"), F.floor(x["w"])
-        down = acc["off"] + (low - x["w"]) * size
-        up = (F.abs(down + size) < F.abs(down)) & (low < x["w"])
-        return F.struct((down + F.when(up, size).otherwise(0.0)).alias("off"), F.concat(acc["got"], F.array((low + up.cast("int")).cast("int"))).alias("got"))
+        size = -x["less"].cast("double")
+        ideal = x["w"] - acc["off"] / F.greatest(size, F.lit(1.0))
+        c = F.when(size > 0, F.least(F.greatest(F.round(ideal), F.lit(0.0)), F.lit(float(math.floor(most))))).otherwise(F.floor(x["w"])).cast("int")
+        return F.struct((acc["off"] + (c - x["w"]) * size).alias("off"), F.concat(acc["got"], F.array(c)).alias("got"))
 
     lists = dealt.groupBy("k", "part").agg(rows.alias("rows"))
     lists = lists.withColumn("got", F.aggregate("rows", start, place, lambda acc: acc["got"]))
