@@ -14,6 +14,8 @@ from weftline.functions.terms import BNODE, TRIPLE
 from weftline.plans import sparql as q
 from weftline.plans.compiler import Compiler
 
+from .storage import cut
+
 KEY = ["graph_id", *TRIPLE]
 
 
@@ -92,7 +94,8 @@ def coloured(triples: DataFrame, rounds: int = 4) -> DataFrame:
         out = keyed_.where(F.col("s_kind") == BNODE).select("graph_id", F.col("s").alias("node"), F.concat_ws(" ", F.lit(">"), "p", "o_key").alias("x"))
         into = keyed_.where(F.col("o_kind") == BNODE).select("graph_id", F.col("o").alias("node"), F.concat_ws(" ", F.lit("<"), "p", "s_key").alias("x"))
         seen = out.unionByName(into).groupBy("graph_id", "node").agg(F.array_join(F.sort_array(F.collect_list(F.md5("x"))), "").alias("x"))
-        colours = colours.join(seen, ["graph_id", "node"]).select("graph_id", "node", F.md5(F.concat_ws("|", "colour", "x")).alias("colour"))
+        # each round reads the colours three times, so an uncut plan would grow threefold with it
+        colours = cut(colours.join(seen, ["graph_id", "node"]).select("graph_id", "node", F.md5(F.concat_ws("|", "colour", "x")).alias("colour")))
     return _with_colours(rows, colours)
 
 
@@ -108,7 +111,11 @@ def fingerprints(triples: DataFrame, blank: bool = True, rounds: int = 4) -> Dat
     """graph_id, fp, n: equal for isomorphic graphs. Different graphs with blank nodes may share one; ``isomorphism_classes`` settles those."""
     if not blank:
         return ground_fingerprints(triples)
-    rows = coloured(triples, rounds).select("graph_id", F.md5(_encoded(F.col("s_key"), F.col("o_key"))).alias("h"))
+    return _of_keys(coloured(triples, rounds))
+
+
+def _of_keys(keyed: DataFrame) -> DataFrame:
+    rows = keyed.select("graph_id", F.md5(_encoded(F.col("s_key"), F.col("o_key"))).alias("h"))
     return rows.groupBy("graph_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("fp"), F.count(F.lit(1)).alias("n"))
 
 
@@ -167,14 +174,15 @@ def isomorphism_classes(triples: DataFrame, rounds: int = 4) -> DataFrame:
     Graphs whose fingerprint is theirs alone, and those without blank nodes, are settled by it; only
     graphs with blank nodes that share a fingerprint are compared exactly, one fingerprint a group.
     """
-    fp = fingerprints(triples, True, rounds)
+    keyed = cut(coloured(triples, rounds))
+    fp = _of_keys(keyed)
     blank = triples.where((F.col("s_kind") == BNODE) | (F.col("o_kind") == BNODE)).select("graph_id").distinct().withColumn("blank", F.lit(True))
     rows = fp.join(blank, "graph_id", "left")
     shared = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("graph_id").alias("least"))
     rows = rows.join(shared, "fp")
     easy = rows.where("blank is null or k = 1").select("graph_id", F.col("least").alias("cls"))
     hard = rows.where("blank and k > 1").select("graph_id", "fp")
-    detail = coloured(triples, rounds).join(hard, "graph_id")
+    detail = keyed.join(hard, "graph_id")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[str, list[tuple]]] = []
