@@ -9,8 +9,8 @@ depend on nothing else, so documents are aggregated before the first iteration).
 
 Rates are rounded into copies by error diffusion: the documents of a source, dealt by a hash into parts
 of about ``part`` rows, are walked from the largest to the smallest, each getting the whole number from 0
-to ``most`` that keeps the part's words nearest to what the rates ask for (so smaller documents make up
-for a much larger one). What is left over a part is about the size of its smallest documents. A source of any size is spread over many parts.
+to ``most`` that keeps the part's words nearest to what the rates ask for, among those for which the
+documents still to come can make up. What is left over a part is about the size of its smallest ones. A source of any size is spread over many parts.
 
 Defined cases: a null text has size 0 and is taken as 0 words; a null source is a source of its own,
 ordered last; sources without words have target 0; an empty table gives no rows; repeated rows are
@@ -104,15 +104,23 @@ def copies(sized: DataFrame, state: DataFrame, base: float, most: float, part: i
     dealt = rated.withColumn("part", F.pmod(mark, F.ceil(F.col("n") / part)))
     # about ``part`` documents each: a hash deals a source's documents into n / part parts
     rows = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), mark.alias("mark"), "doc_id", "w")))
-    start = F.struct(F.lit(0.0).alias("off"), F.expr("cast(array() as array<int>)").alias("got"))
+    # up, down: what the documents still to come can add to their rates' words, and take from them
+    start = F.struct(F.lit(0.0).alias("off"), F.col("up"), F.col("down"), F.expr("cast(array() as array<int>)").alias("got"))
 
     def place(acc: Column, x: Column) -> Column:
-        size = -x["less"].cast("double")
-        ideal = x["w"] - acc["off"] / F.greatest(size, F.lit(1.0))
-        c = F.when(size > 0, F.least(F.greatest(F.round(ideal), F.lit(0.0)), F.lit(float(math.floor(most))))).otherwise(F.floor(x["w"])).cast("int")
-        return F.struct((acc["off"] + (c - x["w"]) * size).alias("off"), F.concat(acc["got"], F.array(c)).alias("got"))
+        size, w = -x["less"].cast("double"), x["w"]
+        up, down = acc["up"] - (F.lit(float(most)) - w) * size, acc["down"] - w * size
 
-    lists = dealt.groupBy("k", "part").agg(rows.alias("rows"))
+        def choice(c: int) -> Column:
+            off = acc["off"] + (F.lit(float(c)) - w) * size
+            lost = F.round(F.greatest(off - down, -off - up, F.lit(0.0)), 3)  # no later document can make up for it
+            return F.struct(lost.alias("lost"), F.abs(off).alias("far"), F.abs(F.lit(float(c)) - w).alias("turn"), F.lit(c).alias("c"), off.alias("off"))
+
+        best = F.array_min(F.array(*[choice(c) for c in range(math.floor(most) + 1)]))
+        return F.struct(best["off"].alias("off"), up.alias("up"), down.alias("down"), F.concat(acc["got"], F.array(best["c"])).alias("got"))
+
+    words = F.col("size").cast("double")
+    lists = dealt.groupBy("k", "part").agg(rows.alias("rows"), F.sum((F.lit(float(most)) - F.col("w")) * words).alias("up"), F.sum(F.col("w") * words).alias("down"))
     lists = lists.withColumn("got", F.aggregate("rows", start, place, lambda acc: acc["got"]))
     one = lists.select("k", F.explode(F.arrays_zip("rows", "got")).alias("x"))
     return one.select(F.col("x.rows.doc_id").alias("doc_id"), "k", (-F.col("x.rows.less")).alias("size"), F.col("x.got").alias("copies"), F.col("x.rows.w").alias("rate"))
