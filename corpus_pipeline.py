@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import lines, mixing, packing, quality, simhash
+from weftline.llm import lines, mixing, nearcopies, packing, quality
 from weftline.llm.common import Scratch
 
 
@@ -25,8 +25,8 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by fingerprints of five-word shingles."""
-    return simhash.drop_near_copies(spark, docs)
+    """One document of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more, over any number of links."""
+    return nearcopies.drop_near_copies(spark, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,7 +230,11 @@ def groups(spark: SparkSession, documents: DataFrame, words: int = 3, bits: int
 
 def drop_near_copies(spark: SparkSession, documents: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
     """One document of each component, that of the least id (of the least text hash among rows that share it; null ids last)."""
-    grouped = groups(spark, documents, words, bits)
+    return one_of_each(documents, groups(spark, documents, words, bits))
+
+
+def one_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents' first row of each root of grouped (doc_id, mark, root)."""
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     keep = grouped.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.mark").alias("_mark"))
     marked = documents.withColumn("_own", text_mark())
