@@ -2,7 +2,7 @@
 
 One level of all datasets is one batch: the guards of all components are evaluated on all graphs of the
 level at once, each transformer rewrites all its parents' graphs at once, and what is redundant is
-found by fingerprint. A child's graph depends on its parent only, and "new" is an equivalence class not
+found by fingerprint; graphs with blank nodes that share one are compared exactly. A child's graph depends on its parent only, and "new" is an equivalence class not
 seen at a smaller position, so the result is that of expanding one node after the other.
 
 Tables: nodes(run_id, node_id, parent_id, seq, level, transformer_idx, transformer, applications,
@@ -120,6 +120,38 @@ def _fingerprints(triples: DataFrame, roots: DataFrame, how: str, blank: bool) -
     return both.select("graph_id", F.md5(F.concat_ws("|", F.coalesce("plus", F.lit("")), F.coalesce("less", F.lit("")))).alias("fp"))
 
 
+def _compared(triples: DataFrame, roots: DataFrame, how: str) -> DataFrame:
+    """The graphs by which states are the same: whole ones, or for diff what each adds to and lacks of its root, with predicates and blank nodes of their own."""
+    if how != "diff":
+        return triples
+    runs = triples.withColumn("run_id", F.substring_index("graph_id", "|", 1))
+    base = roots.select("run_id", *TRIPLE).distinct()
+    new = runs.join(base, ["run_id", *TRIPLE], "left_anti")
+    lost = runs.select("run_id", "graph_id").distinct().join(base, "run_id").join(runs, ["run_id", "graph_id", *TRIPLE], "left_anti")
+
+    def marked(rows: DataFrame, mark: str) -> DataFrame:
+        own = lambda kind, c: F.when(F.col(kind) == t.BNODE, F.concat(F.lit(mark), c)).otherwise(F.col(c)).alias(c)
+        return rows.select("graph_id", "s_kind", own("s_kind", "s"), F.concat(F.lit(mark), "p").alias("p"), "o_kind", own("o_kind", "o"), "o_dt", "o_lang")
+
+    return marked(new, "+").unionByName(marked(lost, "-"))
+
+
+def _settled(judged: DataFrame, visited: DataFrame | None, triples: DataFrame, roots: DataFrame, how: str) -> DataFrame:
+    """judged with again: whether a state visited or earlier in the level is isomorphic, compared exactly where fingerprints are equal."""
+    every = judged.select("run_id", "node_id", "fp", "seq", F.lit(False).alias("known"))
+    if visited is not None:
+        every = every.unionByName(visited.select("run_id", "node_id", "fp", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("known")))
+    shared = every.groupBy("run_id", "fp").agg(F.count(F.lit(1)).alias("k"), F.max(~F.col("known")).alias("fresh")).where("k > 1 and fresh").select("run_id", "fp")
+    shared = cut(every.join(shared, ["run_id", "fp"]).withColumn("graph_id", F.concat_ws("|", "run_id", "node_id")))
+    if not shared.limit(1).count():
+        return judged.withColumn("again", F.lit(False))
+    classes = g.isomorphism_classes(cut(_compared(triples.join(shared.select("graph_id"), "graph_id", "left_semi"), roots, how)))
+    # a graph without triples has no class, and is like all others of its fingerprint
+    in_class = Window.partitionBy("run_id", "fp", "cls").orderBy(F.col("known").desc(), "seq")
+    told = shared.join(classes, "graph_id", "left").withColumn("again", F.row_number().over(in_class) > 1).where("not known").select("run_id", "node_id", "again")
+    return judged.join(told, ["run_id", "node_id"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
 def root_graphs(spark: SparkSession, datasets: list[Dataset]) -> DataFrame:
     """run_id and the triples of the datasets' samples; runs are numbered in order of IRI."""
     rows = [(f"{i:03d}", *r) for i, d in enumerate(sorted(datasets, key=lambda d: d.iri)) for r in d.rows]
@@ -176,12 +208,12 @@ def explore(
         stored = [cut(graphs)]
         visited = None
         if include_root and filter != "none":
-            visited = cut(_fingerprints(stored[0], roots, filter, blank).select(F.substring_index("graph_id", "|", 1).alias("run_id"), "fp"))
+            visited = cut(_fingerprints(stored[0], roots, filter, blank).select(F.substring_index("graph_id", "|", 1).alias("run_id"), F.lit(prefix + "root").alias("node_id"), "fp"))
         queue = _children(done[0], None, stored[0], transformers, groups, prefix, 0)
         level, levels, parents = 1, [], stored[0]
     else:
         done, stored, levels = [cut(resume.nodes.where("expanded"))], [resume.graphs], list(resume.levels)
-        seen = resume.nodes.where("expanded and not redundant and fp is not null").select("run_id", "fp")
+        seen = resume.nodes.where("expanded and not redundant and fp is not null").select("run_id", "node_id", "fp")
         visited = cut(seen) if filter != "none" else None
         queue = cut(resume.queue)
         level, parents = queue.agg(F.max("level")).first()[0] or 0, resume.graphs
@@ -201,10 +233,13 @@ def explore(
         else:
             fps = _fingerprints(made, roots, filter, blank)
             judged = work.withColumn("graph_id", F.concat_ws("|", "run_id", "node_id")).join(fps, "graph_id", "left").withColumn("fp", F.coalesce("fp", F.md5(F.lit("")))).drop("graph_id")
-            judged = judged.withColumn("again", F.row_number().over(Window.partitionBy("run_id", "fp").orderBy("seq")) > 1)
-            if visited is not None:
-                known = visited.withColumn("known", F.lit(True))
-                judged = judged.join(known, ["run_id", "fp"], "left").withColumn("again", F.col("again") | F.col("known").isNotNull()).drop("known")
+            if blank:
+                judged = _settled(cut(judged), visited, reduce(DataFrame.unionByName, stored, made), roots, filter)
+            else:
+                judged = judged.withColumn("again", F.row_number().over(Window.partitionBy("run_id", "fp").orderBy("seq")) > 1)
+                if visited is not None:
+                    known = visited.select("run_id", "fp", F.lit(True).alias("known"))
+                    judged = judged.join(known, ["run_id", "fp"], "left").withColumn("again", F.col("again") | F.col("known").isNotNull()).drop("known")
         judged = cut(judged)
         new = judged.where("not again")
         keep = new.select(F.concat_ws("|", "run_id", "node_id").alias("graph_id"))
@@ -216,7 +251,7 @@ def explore(
         stored.append(cut(fresh))
         done.append(nodes)
         if filter != "none":
-            more = nodes.where("not redundant").select("run_id", "fp")
+            more = nodes.where("not redundant").select("run_id", "node_id", "fp")
             visited = cut(visited.unionByName(more)) if visited is not None else more
         queue, parents = _children(nodes.where("not redundant"), queue, stored[-1], transformers, groups, prefix, level), stored[-1]
         levels.append((level, start, int(1000 * (time.monotonic() - began))))
