@@ -10,13 +10,15 @@ reaches ``reject``; without labels of its own it is allowed.
 Only counts of branches are grouped - a host of any size is summed before it is shuffled - and a node
 has at most 1 / ``share`` literal branches, so windows over a node are small.
 
-Defined cases: a null url, or one without ``://``, has empty host and path (template ``/``); segments
-beyond ``depth`` levels count as one; repeated rows get equal verdicts; other columns are not read;
+Defined cases: a null url, or one without ``://``, has empty host and path (template ``/``); the
+tree is as deep as the longest path; repeated rows get equal verdicts; other columns are not read;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +53,19 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def templates(scratch: Scratch, pages: DataFrame, depth: int = 6, share: float = 0.05, least: int = 3, z: float = 1.96) -> DataFrame:
+def templates(scratch: Scratch, pages: DataFrame, share: float = 0.05, least: int = 3, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, label, template of pages (page_id, host, path, rule, label: 1 block, 0 allow, null)."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
+    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     rows = pages.withColumn("_seg", F.when(F.col("path").isin("", "/"), F.array().cast("array<string>")).otherwise(parts)).withColumn("template", F.lit(""))
     rows = scratch.table(rows)
     deepest = rows.agg(F.max(F.size("_seg"))).first()[0] or 0
+    done = []
     for i in range(deepest):
+        done.append(rows.where(F.size("_seg") <= i))  # paths that end above have no part in this round
+        rows = rows.where(F.size("_seg") > i)
         here = rows.withColumn("_s", F.get("_seg", F.lit(i)))
         node = ["host", "template"]
-        sums = here.where(F.col("_s").isNotNull()).groupBy(*node, "_s").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
+        sums = here.groupBy(*node, "_s").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
         sums = scratch.table(sums)
         total = sums.groupBy(*node).agg(F.sum("n").alias("_total"))
         literal = sums.join(total, node).where((F.col("n") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("_total"))) & (F.col("_s") != ""))
@@ -77,8 +82,9 @@ def templates(scratch: Scratch, pages: DataFrame, depth: int = 6, share: float =
         branch = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("_s"))
         kept = runs.select(*node, "_s", branch.alias("_b"))
         joined = here.join(kept, [*node, "_s"], "left")
-        step = F.when(F.col("_s").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("_b", F.when(F.col("_s") == "", "").otherwise("*"))))
+        step = F.concat(F.lit("/"), F.coalesce("_b", F.when(F.col("_s") == "", "").otherwise("*")))
         rows = scratch.table(joined.withColumn("template", F.concat("template", step)).select(*rows.columns))
+    rows = reduce(DataFrame.unionByName, done, rows)
     return rows.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))).drop("_seg")
 
 
