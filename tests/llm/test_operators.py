@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import langid, lines, media, mixing, packing, quality, simhash, sketch, suffixes, urls
+from weftline.llm import langid, lines, media, mixing, nearcopies, packing, quality, simhash, sketch, suffixes, urls
 from weftline.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -352,10 +352,9 @@ def test_awkward_tables(spark, awkward, name):
 
 def test_near_copies_leave_one_document_of_each_group(spark, awkward):
     docs = spark.read.parquet(awkward[1] + "/documents.parquet")
-    kept = simhash.drop_near_copies(spark, docs)
+    kept = nearcopies.drop_near_copies(spark, docs)
     assert kept.columns == docs.columns
-    roots = simhash.groups(spark, docs, 5, 4)
-    assert kept.count() == roots.select("root").distinct().count()
+    assert kept.count() == nearcopies.groups(spark, docs).select("root").distinct().count()
 
 
 def test_deduplicated_lines_keep_clashing_columns(spark, awkward):

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,29 +16,22 @@ from pyspark.sql import functions as F
 #: ASCII white space, the word separator of every contract: space and \t to \r.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse, else (local masters only) a temporary one."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if sc.applicationId not in _OWN:
-        held = tempfile.TemporaryDirectory(prefix="weftline-")
-        atexit.register(held.cleanup)
-        _OWN[sc.applicationId] = held.name
-    return "file://" + _OWN[sc.applicationId]
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read, the end of the application all."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/weftline/{tag}-{uuid.uuid4().hex}"
         self.n = 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
 
     def path(self) -> str:
         self.n += 1
@@ -56,10 +47,10 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
-    def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tidy(run: Callable) -> Callable:

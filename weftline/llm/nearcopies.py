@@ -1,17 +1,28 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 4/5, over any number of links.
+"""Near copies by SimHash: documents whose sets of five-word shingles have a Jaccard similarity of at least 4/5, over any number of links.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` MinHash values each: a pair at exactly 0.8 is missed with
-a chance of (1 - 0.8 ** 5) ** 32 = 3e-6, a closer one with less. Every candidate that could link two
-components is verified on the whole sets of 64-bit shingle hashes.
+A text has ``PRINTS`` independent SimHash fingerprints of 72 bits. Next to each bit its margin is kept: how far
+the shingles' votes are from a tie. Anchors are the products of three codewords of the extended Golay code
+(length 24, distance 8, covering radius 4), 2^36 for each fingerprint. The distance of a fingerprint to an anchor
+counts each differing bit by its margin, and a fingerprint is replicated to its ``NEAR`` nearest anchors: those
+within its distance to the code plus a threshold that has room for so many. Bits near a tie, which are those that
+differ between near copies, so cost little. Fingerprints that meet at an anchor are compared.
 
-Documents of equal sets are one node. In each band's bucket all nodes are first verified against the
-least and the greatest, which settles large groups in rows in proportion to their size. Then, in buckets
-that still hold several components, each node outside the bucket's largest one is verified against all
-nodes of other components. Pairs already in one component need no comparison, and sizes further apart
-than the similarity allows can't link, so nothing is lost by either.
+How many links are found: two texts at exactly 0.8 differ in 15% of the bits and meet with a chance of 0.98 (by
+simulation, and in the test), at 0.85 with 0.998. 72 equal random bits are unlikely at any size: unrelated texts
+meet at an anchor once in 2^36 / NEAR^2 pairs.
+
+Each candidate is verified on the whole sets of 64-bit shingle hashes. Texts of equal sets are one node. First each
+node is verified against three others at most, which are the least of all that share an anchor with it in three
+orders; copies of one text agree on these, so a group of any size takes rows in proportion to it. Then, at anchors
+whose nodes still are in several components, the nodes outside the largest one are compared with all nodes of other
+components (up to ``BITS`` of the fingerprints' bits apart and of sizes that the similarity allows). Pairs already
+in one component need no comparison, so nothing is lost by it.
+
+Rows of an anchor are streamed in order and never held together.
 
 Defined cases: null and empty texts, and those of white space, have no shingles and are copies of each
-other; a text of fewer than five words is one shingle; ids as in ``simhash``.
+other; a text of fewer than five words is one shingle; ids as in ``simhash``; the columns of the input are kept,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,24 +30,45 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
-from .simhash import components, one_of_each, text_mark
-from .sketch import shingle_hashes
+from .common import Scratch, shuffle_width, spare_name, tidy
+from .simhash import components, text_mark
+from .words import shingle_hashes
 
-BANDS, ROWS = 32, 5
+#: Fingerprints of a text, each of BLOCKS codewords of 24 bits; anchors each is replicated to, and the codewords of a block that are looked at.
+PRINTS, BLOCKS, NEAR, CHOICES = 4, 3, 32, 8
+SIZE = 24 * BLOCKS * PRINTS
+#: Bits of all fingerprints in which two texts may differ to be compared: 3.9 standard deviations above what 0.8 gives at worst.
+BITS = 80
 #: The least similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Shingles hashed at a time, and documents a batch.
+#: Shingles hashed at a time, and texts a batch.
 CHUNK, BATCH = 4096, 200
+#: Generator polynomial of the cyclic Golay code of length 23.
+GOLAY = 0b101011100011
+#: A margin of one standard deviation, as stored.
+UNIT = 32
 
 _RNG = np.random.default_rng(11)
-_TIMES = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, -(-SIZE // 64), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Breaks ties between anchors alike for all texts.
+_TIE = _RNG.uniform(-1, 1, SIZE).astype(np.float32)
+
+
+def half_code() -> np.ndarray:
+    """(24, 2048) codewords of the extended Golay code as signs, one of each complementary pair."""
+    numbers = np.arange(2048, dtype=np.int64)
+    words = np.zeros_like(numbers)
+    for i in range(11):
+        words ^= np.where(numbers >> i & 1, GOLAY << i, 0)
+    odd = np.bitwise_count(words.astype(np.uint64)).astype(np.int64) & 1
+    words |= odd << 23
+    return (2.0 * (words[None, :] >> np.arange(24)[:, None] & 1) - 1).astype(np.float32)
+
+
+_CODE = half_code()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,16 +76,39 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode()))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One number for each band; equal where all its MinHash values are."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    short = (found ^ found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(short), CHUNK):
-        least = np.minimum(least, (short[None, lo : lo + CHUNK] * _TIMES + _PLUS).min(1))
-    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64) + _SALT
-    return mixed.view(np.int64)
+def margins(found: np.ndarray) -> np.ndarray:
+    """Of each bit, how many standard deviations its votes are from a tie, times UNIT, as bytes; the bit is 1 above 0."""
+    ones = np.zeros(64 * len(_TIMES), np.int64)
+    for lo in range(0, len(found), CHUNK):
+        h = found[lo : lo + CHUNK, None] * _TIMES
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    n = max(1, len(found))
+    return np.clip(np.rint((2 * ones[:SIZE] - n) * (UNIT / np.sqrt(n))), -127, 127).astype(np.int8)
+
+
+def anchors(votes: np.ndarray) -> np.ndarray:
+    """(texts, PRINTS * NEAR) anchors of (texts, SIZE) margins."""
+    n = len(votes)
+    z = (votes.astype(np.float32) + _TIE).reshape(-1, 24)
+    near = z @ _CODE
+    np.abs(near, out=near)
+    at = np.argpartition(near, 2048 - CHOICES, axis=1)[:, 2048 - CHOICES :]
+    gain = np.take_along_axis(near, at, 1).reshape(n * PRINTS, BLOCKS, CHOICES)
+    del near
+    side = np.einsum("ij,jik->ik", z, _CODE[:, at]) > 0
+    word = (at.astype(np.int64) << 1 | side).reshape(n * PRINTS, BLOCKS, CHOICES)
+    total, key = gain[:, 0], word[:, 0]
+    for b in range(1, BLOCKS):
+        total = (total[:, :, None] + gain[:, b, None, :]).reshape(len(total), -1)
+        key = (key[:, :, None] << 12 | word[:, b, None, :]).reshape(len(key), -1)
+        if total.shape[1] > NEAR:
+            best = np.argpartition(total, total.shape[1] - NEAR, axis=1)[:, total.shape[1] - NEAR :]
+            total, key = np.take_along_axis(total, best, 1), np.take_along_axis(key, best, 1)
+    number = np.tile(np.arange(PRINTS, dtype=np.int64) << 12 * BLOCKS, n)
+    return (key | number[:, None]).reshape(n, -1)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -61,27 +116,91 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
 
 
-def signed(documents: DataFrame) -> DataFrame:
-    """doc_id, mark, node (the hash of the shingles), n, bands, shingles (bytes of 64-bit hashes)."""
+def _node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
+
+
+def printed(documents: DataFrame) -> DataFrame:
+    """doc_id, mark, node (the hash of the shingles), n (how many), votes (the margins)."""
 
     def run(batches):
         for whole in batches:
             for b in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
-                sets = [shingles(x.as_py()) for x in b.column(2)]
-                raw = [x.tobytes() for x in sets]
-                node = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
-                columns = [b.column(0), b.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "n", "bands", "shingles"])
+                node, n, votes = [], [], []
+                for x in b.column(2):
+                    found = shingles(x.as_py())
+                    node.append(_node(found))
+                    n.append(len(found))
+                    votes.append(margins(found).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(votes, pa.binary())], names=["doc_id", "mark", "node", "n", "votes"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), F.col("text").cast("string"))
-    return rows.mapInArrow(tidy(run), "doc_id long, mark long, node long, n long, bands array<long>, shingles binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, node long, n long, votes binary")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (u, v) of nodes that are similar."""
-    pairs = scratch.table(pairs)
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = scratch.table(rows.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles")))
+def replicated(nodes: DataFrame) -> DataFrame:
+    """anchor, node: each node with votes at its anchors."""
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                votes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int8).reshape(-1, SIZE)
+                at = anchors(votes)
+                who = np.repeat(b.column(0).to_numpy(), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(who)], names=["anchor", "node"])
+
+    return nodes.select("node", "votes").mapInArrow(tidy(run), "anchor long, node long")
+
+
+def shared(met: DataFrame, parts: int) -> DataFrame:
+    """Those of the rows (anchor, node) whose anchor has several nodes, with ``least``, the anchor's least node."""
+
+    def run(batches):
+        last = None  # the row whose anchor may go on, and whether it has been given
+        for b in batches:
+            a, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(a):
+                continue
+            if last is not None:
+                a, v = np.concatenate([[last[0]], a]), np.concatenate([[last[1]], v])
+            new = np.concatenate([[True], a[1:] != a[:-1]])
+            starts = np.nonzero(new)[0]
+            run_of = np.cumsum(new) - 1
+            least = v[starts]
+            if last is not None:
+                least[0] = last[2]
+            several = ~(new & np.concatenate([new[1:], [True]]))
+            given = last is not None and last[3]
+            if given and len(a) > 1:
+                several[0] = False
+            out = np.nonzero(several)[0]
+            gone = bool(several[-1]) or (given and starts[-1] == 0)
+            last = (a[-1], v[-1], least[-1], gone)
+            if given:
+                out = out[out > 0]
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(v[out]), pa.array(least[run_of[out]])], names=["anchor", "node", "least"])
+
+    dealt = met.repartition(parts, "anchor").sortWithinPartitions("anchor", "node")
+    return dealt.mapInArrow(tidy(run), "anchor long, node long, least long")
+
+
+def with_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles (bytes of 64-bit hashes) of the wanted rows (doc_id, mark, node), which stand for a node each."""
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
+                raw = [shingles(x.as_py()).tobytes() for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["node", "shingles"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("d"), text_mark().alias("m"), F.col("text").cast("string").alias("text"))
+    mine = texts["d"].eqNullSafe(wanted["doc_id"]) & (texts["m"] == wanted["mark"])
+    return texts.join(wanted, mine).select("node", "text").mapInArrow(tidy(run), "node long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of nodes that are similar; a node that many have as v is dealt out by Spark's skew join."""
     a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
 
     def run(batches):
@@ -91,7 +210,7 @@ def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-    return scratch.table(both.mapInArrow(tidy(run), "u long, v long"))
+    return both.mapInArrow(tidy(run), "u long, v long")
 
 
 def _close(a: str, b: str):
@@ -99,29 +218,74 @@ def _close(a: str, b: str):
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-def groups(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def _star(open_: DataFrame) -> DataFrame:
+    """u, v: each node u with the least others that share an anchor with it, in three orders."""
+    node = F.col("node")
+    order = [lambda c, i=i: F.xxhash64(c, F.lit(i)) for i in (1, 2)]
+    ends = open_.groupBy("anchor").agg(*[F.min(F.struct(h(node).alias("h"), node.alias("v"))).alias(f"e{i}") for i, h in enumerate(order)])
+    met = open_.join(ends, "anchor")
+    best = met.groupBy("node").agg(F.min("least").alias("v0"), F.min("e0").alias("e0"), F.min("e1").alias("e1"))
+    pairs = best.select(F.col("node").alias("u"), F.explode(F.array("v0", "e0.v", "e1.v")).alias("v"))
+    return pairs.where("u != v").distinct()
+
+
+def groups(spark: SparkSession, documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, mark, root: rows of one root are near copies of each other, over any number of links."""
-    scratch = Scratch(spark, "nearcopies")
-    rows = scratch.table(signed(documents))
-    met = rows.select("node", "n", F.explode("bands").alias("band")).distinct()
-    ends = met.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("lo.node != hi.node")
-    met = scratch.table(met.join(ends, "band"))
-    one = lambda end: met.where((F.col("node") != F.col(f"{end}.node")) & _close("n", f"{end}.n")).select(F.least("node", f"{end}.node").alias("u"), F.greatest("node", f"{end}.node").alias("v"))
-    edges = verified(one("lo").unionByName(one("hi")).distinct(), rows, scratch)
+    scratch = scratch or Scratch(spark, "nearcopies")
+    rows, _ = scratch.write(printed(documents))
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
+    nodes, nodes_at = scratch.write(rows.groupBy("node").agg(F.min(first).alias("of"), F.max("n").alias("n"), F.max("votes").alias("votes")))
+    dealt = nodes.where("n > 0").repartition(shuffle_width(spark), "node")
+    open_, open_at = scratch.write(shared(replicated(dealt), shuffle_width(spark)))
+    one, one_at = scratch.write(_star(open_).join(nodes.select(F.col("node").alias("u"), F.col("n").alias("un")), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("vn")), "v").where(_close("un", "vn")).select("u", "v"))
+    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("of.doc_id", "of.mark", "node")
+    sets, sets_at = scratch.write(with_sets(documents, wanted).dropDuplicates(["node"]))
+    edges, _ = scratch.write(verified(one, sets))
     roots = components(edges, scratch)
-    held = met.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = scratch.table(held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k")))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", F.col("x.root").alias("main"))
-    open_ = scratch.table(held.join(largest, "band"))
-    a = open_.where("root != main").select("band", F.col("node").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-    b = open_.select("band", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), "main")
-    once = (F.col("vr") == F.col("main")) | (F.col("u") < F.col("v"))
-    cross = a.join(b, "band").where((F.col("ur") != F.col("vr")) & once & _close("un", "vn")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = verified(cross, rows, scratch)
-    roots = scratch.table(components(edges.unionByName(more), scratch))
+    bits = [f"b{i}" for i in range(-(-SIZE // 64))]
+    held = open_.select("anchor", "node").join(roots, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root"))
+    held, held_at = scratch.write(held)
+    sizes, sizes_at = scratch.write(held.groupBy("anchor", "root").agg(F.count(F.lit(1)).alias("k")))
+    main = sizes.groupBy("anchor").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("anchor", F.col("x.root").alias("main"))
+    left = held.join(main, "anchor").join(_with_bits(nodes, bits), "node")
+    left, left_at = scratch.write(left)
+    side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "root", *bits)]
+    a = left.where("root != main").select("anchor", *side("u"))
+    b = left.select("anchor", "main", *side("v"))
+    once = (F.col("vroot") == F.col("main")) | (F.col("unode") < F.col("vnode"))
+    apart = sum((F.bit_count(F.col("u" + c).bitwiseXOR(F.col("v" + c))) for c in bits[1:]), F.bit_count(F.col("ub0").bitwiseXOR(F.col("vb0"))))
+    cross = a.join(b, "anchor").where((F.col("uroot") != F.col("vroot")) & once & _close("un", "vn") & (apart <= BITS))
+    cross = cross.select(F.least("unode", "vnode").alias("u"), F.greatest("unode", "vnode").alias("v")).distinct()
+    more, _ = scratch.write(verified(cross, sets))
+    scratch.drop(nodes_at, open_at, one_at, sets_at, held_at, sizes_at, left_at)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch)
     return rows.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
 
 
+def _with_bits(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """node, n and the fingerprints' bits, 64 in a column."""
+
+    def run(batches):
+        for b in batches:
+            votes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, SIZE)
+            packed = np.packbits(np.pad(votes > 0, ((0, 0), (0, 64 * len(names) - SIZE))), axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(names))]], names=["node", "n", *names])
+
+    return nodes.select("node", "n", "votes").mapInArrow(tidy(run), "node long, n long, " + ", ".join(f"{c} long" for c in names))
+
+
 def drop_near_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """One document of each group, that of the least id (of the least text hash among rows that share it; null ids last)."""
-    return one_of_each(documents, groups(spark, documents))
+    scratch = Scratch(spark, "nearcopies")
+    rows, rows_at = scratch.write(groups(spark, documents, scratch))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    keep = scratch.table(rows.groupBy("root").agg(F.min(first).alias("x")).select("x.doc_id", "x.mark"))
+    alike = rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    scratch.drop(rows_at)
+    names = documents.columns
+    own, number = spare_name(names, "own"), spare_name(names, "number")
+    marked = documents.withColumn(own, text_mark())
+    kept = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[own] == keep["mark"]), "left_semi")
+    if alike:  # rows equal in id and text are left then; one of them stays
+        kept = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own))).where(F.col(number) == 1)
+    return kept.select(*names)

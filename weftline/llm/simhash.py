@@ -23,7 +23,7 @@ the shared folder; no link or fingerprint comes to the driver.
 Defined cases: null and empty texts, and those of white space, have fingerprint 0 and link with each
 other as any; rows that share an id are documents of their own with one label; rows with a null id are
 fingerprinted, and represented by the least id among equal texts' rows, else by null; an empty table
-gives no rows; other columns are not read, and kept by ``drop_near_copies``.
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
@@ -196,15 +196,14 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     mark = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, used = scratch.write(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # least numbers are summed up before the shuffle, and written, so that Spark can split the joins at a node with many links
+        least, least_at = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large, large_at = scratch.write(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        scratch.drop(least_at)
+        least, least_at = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new, new_path = scratch.write(small)
-        scratch.drop(path)
-        scratch.drop(used)
+        new, new_path = scratch.write(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(path, large_at, least_at)
         now, path = new, new_path
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == mark:
@@ -228,23 +227,6 @@ def groups(spark: SparkSession, documents: DataFrame, words: int = 3, bits: int
     return printed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "mark", "fp", "root", "component")
 
 
-def drop_near_copies(spark: SparkSession, documents: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
-    """One document of each component, that of the least id (of the least text hash among rows that share it; null ids last)."""
-    return one_of_each(documents, groups(spark, documents, words, bits))
-
-
-def one_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The documents' first row of each root of grouped (doc_id, mark, root)."""
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    keep = grouped.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.mark").alias("_mark"))
-    marked = documents.withColumn("_own", text_mark())
-    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))
-    kept = marked.join(keep, mine, "left_semi")
-    # rows equal in id and text are left now; one of them stays
-    number = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("_own"))
-    return kept.withColumn("_rn", number).where("_rn = 1").select(*documents.columns)
-
-
 def op2_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
     found = groups(spark, documents)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

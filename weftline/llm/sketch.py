@@ -18,34 +18,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_width, spare_name, tidy
+from .words import WORDS, shingle_hashes
 
 K = 128
-WORDS = 5
-SEED = 8
 _FULL = float(1 << 64)
 
 
-def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(found)
-    if len(found) <= words:
-        return np.array([xxhash.xxh3_64_intdigest(line, seed)], np.uint64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(sizes)
-    begins = (ends - sizes)[: len(found) - words + 1].tolist()
-    stops = (ends - 1)[words - 1 :].tolist()
-    hashed = xxhash.xxh3_64_intdigest
-    return np.array([hashed(line[a:b], seed) for a, b in zip(begins, stops, strict=True)], np.uint64)
-
-
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
     """The k least distinct hashes, ascending."""
     if len(hashes) > 16 * k:  # few are left that can be among them, unless most are equal
