@@ -67,6 +67,34 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+#: Slots of a slot table, and slots in each of its rows: 2^27 bits, 16 MB whatever the number of keys.
+SLOT_BITS, ROW_BITS = 27, 15
+
+
+def slots(keys: DataFrame, mark: str) -> DataFrame:
+    """slot_row, slot_bits: which of 2^27 slots the hashes in ``mark`` fall into. Of bounded size, so it may be broadcast."""
+    at = F.pmod(F.col(mark), F.lit(1 << SLOT_BITS))
+    placed = keys.select(F.shiftright(at, ROW_BITS).alias("slot_row"), at.bitwiseAND((1 << ROW_BITS) - 1).alias("place"))
+    return placed.distinct().repartition("slot_row").groupBy("slot_row").agg(F.bitmap_construct_agg("place").alias("slot_bits"))
+
+
+def with_slot(rows: DataFrame, mark: Column, found: DataFrame, name: str) -> DataFrame:
+    """The rows with ``name``: whether the hash's slot is taken. Rows whose slot is free have none of the keys, so they need no shuffle to be told apart from those that may."""
+    at = F.pmod(mark, F.lit(1 << SLOT_BITS))
+    row, place = F.shiftright(at, ROW_BITS), at.bitwiseAND((1 << ROW_BITS) - 1).cast("int")
+    names = rows.columns
+    own, bits = spare_name(names, "slot_row"), spare_name(names, "slot_bits")
+    table = F.broadcast(found.select(F.col("slot_row").alias(own), F.col("slot_bits").alias(bits)))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    taken = (F.call_function("shiftright", byte, place.bitwiseAND(7)).bitwiseAND(1) == 1)
+    return rows.join(table, row == F.col(own), "left").select(*[F.col(f"`{c}`") for c in names], F.coalesce(taken, F.lit(False)).alias(name))
+
+
+def repeats_ids(documents: DataFrame) -> bool:
+    """Whether several rows share an id, or have none."""
+    return documents.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_width, spare_name, tidy
+from .common import Scratch, shuffle_width, slots, spare_name, tidy, with_slot
 from .simhash import components, text_mark
 from .words import shingle_hashes
 
@@ -195,6 +195,7 @@ def with_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("d"), text_mark().alias("m"), F.col("text").cast("string").alias("text"))
+    texts = with_slot(texts, F.col("m"), slots(wanted, "mark"), "may").where("may")
     mine = texts["d"].eqNullSafe(wanted["doc_id"]) & (texts["m"] == wanted["mark"])
     return texts.join(wanted, mine).select("node", "text").mapInArrow(tidy(run), "node long, shingles binary")
 
@@ -278,14 +279,22 @@ def drop_near_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """One document of each group, that of the least id (of the least text hash among rows that share it; null ids last)."""
     scratch = Scratch(spark, "nearcopies")
     rows, rows_at = scratch.write(groups(spark, documents, scratch))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    keep = scratch.table(rows.groupBy("root").agg(F.min(first).alias("x")).select("x.doc_id", "x.mark"))
-    alike = rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    each = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x"))
+    split = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("mark") == F.col("x.mark")))
+    # what goes, and rows equal in id and text of which one stays
+    gone = scratch.table(split.where("not stays or n > 1").select("doc_id", "mark", "stays"))
     scratch.drop(rows_at)
     names = documents.columns
-    own, number = spare_name(names, "own"), spare_name(names, "number")
-    marked = documents.withColumn(own, text_mark())
-    kept = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[own] == keep["mark"]), "left_semi")
-    if alike:  # rows equal in id and text are left then; one of them stays
-        kept = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own))).where(F.col(number) == 1)
-    return kept.select(*names)
+    own, may, number, stays = spare_name(names, "own"), spare_name(names, "may"), spare_name(names, "number"), spare_name(names, "stays")
+    marked = with_slot(documents.withColumn(own, text_mark()), F.col(own), slots(gone, "mark"), may)
+    free = marked.where(~F.col(may)).select(*names)
+    listed = gone.select(F.col("doc_id").alias(may), F.col("mark").alias(number), F.col("stays").alias(stays))
+    rest = marked.where(may).drop(may)
+    rest = rest.join(listed, rest["doc_id"].cast("long").eqNullSafe(listed[may]) & (rest[own] == listed[number]), "left").where(f"coalesce(`{stays}`, true)")
+    single = rest.where(F.col(stays).isNull()).select(*names)
+    if gone.where("stays").limit(1).count():
+        one = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(own))
+        again = rest.where(F.col(stays).isNotNull()).select(*names, own).withColumn(number, one).where(F.col(number) == 1).select(*names)
+        single = single.unionByName(again)
+    return free.unionByName(single)
