@@ -10,9 +10,9 @@ A line's key is the line without ASCII white space at its ends, with A-Z lower-c
 ``min_chars`` code points that ``min_documents`` documents hold lose their lines in all of them but the
 one of the largest id.
 
-Defined cases: a null text stays null and counts as one empty line; rows that share an id count as
-documents each, and all keep what the id keeps; null ids are smaller than all others; other columns
-are carried along; an empty table gives no rows.
+Defined cases: a null text stays null and counts as one empty line; rows that share an id count as one
+document, and what the id keeps, all of them keep; rows without an id count as one document too, the
+smallest; other columns are carried along, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, shuffle_width, spare_name, tidy
+from .common import Scratch, repeats_ids, shuffle_width, spare_name, tidy
+from .simhash import text_mark
 
 KEY = ["h1", "h2"]
 
@@ -42,29 +43,29 @@ def line_keys(lines: list[bytes], min_chars: int) -> list[bytes | None]:
 
 
 def keys(documents: DataFrame, min_chars: int = 20) -> DataFrame:
-    """h1, h2, doc_id: the distinct keys of each document."""
+    """h1, h2, doc_id, mark: the distinct keys of each row of (doc_id, mark, text)."""
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
             found, of = [], []
-            for i, t in enumerate(texts):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 if t:
                     here = {h for h in line_keys(t.encode().split(b"\n"), min_chars) if h is not None}
                     found.extend(here)
                     of.extend([i] * len(here))
             pairs = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), ids.take(at)], names=["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(at), b.column(1).take(at)], names=["h1", "h2", "doc_id", "mark"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(tidy(run), "h1 long, h2 long, doc_id long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "mark", F.col("text").cast("string")).mapInArrow(tidy(run), "h1 long, h2 long, doc_id long, mark long")
 
 
 class LineRuns:
     """The levels of runs: rows (h1, h2, docs, keeper), bucketed and sorted by hash, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.scratch, self.fanout = spark, scratch, fanout
+    def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 2, buckets: int | None = None, shared_ids: bool = False):
+        """shared_ids: whether rows of a batch may have an id in common, which is a document then."""
+        self.spark, self.scratch, self.fanout, self.shared_ids = spark, scratch, fanout, shared_ids
         self.buckets = buckets or shuffle_width(spark)
         self.levels: list[list[tuple[str, str]]] = [[]]
 
@@ -79,7 +80,8 @@ class LineRuns:
 
     def ingest(self, batch: DataFrame) -> None:
         """Adds a batch of (h1, h2, doc_id), its ids below those of earlier batches."""
-        own = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
+        docs = F.count_distinct(F.struct("doc_id")) if self.shared_ids else F.count(F.lit(1))
+        own = batch.groupBy(*KEY).agg(docs.alias("docs"), F.max("doc_id").alias("keeper"))
         known = F.lit(False)
         for i, run in enumerate(self.runs()):
             own = own.join(run.select(*KEY, F.lit(True).alias(f"in{i}")), KEY, "left")
@@ -126,20 +128,28 @@ def dedup_lines(spark: SparkSession, documents: DataFrame, min_chars: int = 20,
     number = F.lit(len(cuts))
     for i, c in enumerate(sorted(cuts, reverse=True)):
         number = F.when((F.col("doc_id") > c) & (number == len(cuts)), i).otherwise(number)
-    found, _ = scratch.write(keys(documents, min_chars).withColumn("batch", F.coalesce(number, F.lit(len(cuts))).cast("int")), partition_by="batch")
-    runs = LineRuns(spark, scratch, fanout)
+    twice = repeats_ids(documents)
+    # a row's lines are found again by its id, and where rows share it, by the text's hash too
+    mark = text_mark() if twice else F.lit(0).cast("long")
+    marked = documents.select("doc_id", mark.alias("mark"), "text")
+    found, found_at = scratch.write(keys(marked, min_chars).withColumn("batch", F.coalesce(number, F.lit(len(cuts))).cast("int")), partition_by="batch")
+    runs = LineRuns(spark, scratch, fanout, shared_ids=twice)
     for i in range(len(cuts) + 1):
         runs.ingest(found.where(F.col("batch") == i))
-    repeated = scratch.table(runs.repeated(min_documents))
+    repeated, repeated_at = scratch.write(runs.repeated(min_documents))
     runs.close()
-    hit = found.join(repeated, KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    # a document's own lines only, so the lists are as bounded as the texts
-    lists = hit.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_drops")).withColumnRenamed("doc_id", "_of")
     names = documents.columns
     n_lines = spare_name(names, "n_lines")
     n_dropped = spare_name([*names, n_lines], "n_dropped")
+    own, drops, of, of_mark = (spare_name(names, x) for x in ("own", "drops", "of", "of_mark"))
+    hit = found.join(repeated, KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # a text's own lines only, so the lists are as bounded as the texts
+    lists = hit.groupBy(F.col("doc_id").alias(of), F.col("mark").alias(of_mark)).agg(F.collect_set(F.struct(*KEY)).alias(drops))
+    lists = scratch.table(lists)
+    scratch.drop(found_at, repeated_at)
     rows = documents.withColumn("text", F.col("text").cast("string"))
-    joined = rows.join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").select(*[rows[c] for c in names], "_drops")
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(of_mark))
+    joined = rows.withColumn(own, mark).join(lists, mine, "left").select(*names, drops)
     schema = T.StructType([*rows.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     at = names.index("text")
 
@@ -181,9 +191,9 @@ WITH lines AS (
   FROM lines
 ), hot AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3
 ), marked AS (
-  SELECT d.doc_id, d.i, d.line, (h.k IS NOT NULL AND d.doc_id <> h.keeper) AS gone
+  SELECT d.doc_id, d.i, d.line, (h.k IS NOT NULL AND d.doc_id IS DISTINCT FROM h.keeper) AS gone
   FROM keyed d LEFT JOIN hot h ON d.k = h.k
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
