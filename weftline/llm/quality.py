@@ -3,8 +3,9 @@
 Each text becomes a vector of document statistics (shares of kinds of characters, word and line
 shapes, repetition). Random Fourier features approximate a Gaussian kernel over the standardised
 statistics. Every task adds up the normal equations of its labelled rows, so the fit gathers one small
-matrix a task, summed on the executors, however many rows there are. Raw scores are calibrated by
-isotonic regression over a fixed number of score bins, whose sums are gathered the same way.
+matrix a task, summed on the executors in a tree, however many rows there are. Raw scores are calibrated by
+isotonic regression over a fixed number of score bins, whose sums are gathered the same way; each labelled
+row's raw score there is that of a fit without its fold, solved from the other folds' sums.
 
 Defined cases: a null text counts as empty; an empty text gets the score its (all zero) statistics
 give; without labelled rows, or with one class only, every score is the smoothed share of class 1;
@@ -14,7 +15,8 @@ nothing; repeated rows get equal scores; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from .common import Scratch, crc_mod, spans, spare_name, text_column, tidy
 
 BLOCK = 1 << 20
+#: Folds of the calibration, and partial sums added up at a time.
+FOLDS, FAN_IN = 4, 16
 #: Kinds of bytes: 0 control, 1 a-z, 2 A-Z, 3 digit, 4 blank, 5 line end, 6 full stop, 7 comma, 8 !?, 9 |, 10 other ASCII, 11 beyond ASCII.
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 10
@@ -181,10 +185,19 @@ def _summed(rows: DataFrame, one: callable) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = rows.select("stats", "label").mapInArrow(tidy(run), "part binary")
-    got = [np.frombuffer(r[0], "<f8") for r in parts.coalesce(64).mapInArrow(tidy(add), "part binary").collect()]  # 64 arrays at most
+    n = parts._jdf.queryExecution().toRdd().getNumPartitions()
+    while n > FAN_IN:  # a tree of sums
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n).mapInArrow(tidy(add), "part binary")
+    got = [np.frombuffer(r[0], "<f8") for r in parts.collect()]  # FAN_IN arrays at most
     return np.sum(got, axis=0) if got else None
 
 
+def fold_of(stats: np.ndarray) -> np.ndarray:
+    """Each row's fold, by its statistics, so repeated rows share one."""
+    return np.array([zlib.crc32(x.tobytes()) % FOLDS for x in np.ascontiguousarray(stats)], np.int64)
+
+
 def train(labelled: DataFrame, features: int = 192, ridge: float = 1e-3, gamma: float = 0.05, bins: int = 400, seed: int = 11) -> QualityModel:
     """From stats and label (0 or 1), over all given rows; they are read three times."""
     rows = labelled.select("stats", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1))
@@ -205,19 +218,29 @@ def train(labelled: DataFrame, features: int = 192, ridge: float = 1e-3, gamma:
     share = ones / n
 
     def normal(s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        phi = model.features(s)
+        phi, fold = model.features(s), fold_of(s)
         w = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))[:, None]
-        return np.concatenate([(phi.T @ (w * phi)).ravel(), (phi * w).T @ y])
+        sums = [np.concatenate([(phi[at].T @ (w[at] * phi[at])).ravel(), (phi[at] * w[at]).T @ y[at]]) for at in (fold == f for f in range(FOLDS))]
+        return np.concatenate([*sums, np.bincount(fold, minlength=FOLDS)])
+
+    got = _summed(rows, normal)
+    sums, sizes = got[:-FOLDS].reshape(FOLDS, size * size + size), got[-FOLDS:]
 
-    eq = _summed(rows, normal)
-    a, b = eq[: size * size].reshape(size, size), eq[size * size :]
-    penalty = np.full(size, ridge * n)
-    penalty[-1] = 1e-9 * n
-    model.weights = np.linalg.solve(a + np.diag(penalty), b)
+    def solved(eq: np.ndarray, rows_: float) -> np.ndarray:
+        penalty = np.full(size, ridge * rows_)
+        penalty[-1] = 1e-9 * rows_
+        return np.linalg.solve(eq[: size * size].reshape(size, size) + np.diag(penalty), eq[size * size :])
+
+    whole = sums.sum(0)
+    model.weights = solved(whole, n)
+    without = [replace(model, weights=solved(whole - sums[f], n - sizes[f])) if sizes[f] < n else model for f in range(FOLDS)]
     edges = np.linspace(-0.5, 1.5, bins + 1)
 
     def histogram(s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        at = np.clip(np.searchsorted(edges, model.raw(s)) - 1, 0, bins - 1)
+        fold, raw = fold_of(s), np.zeros(len(y))
+        for f in range(FOLDS):
+            raw[fold == f] = without[f].raw(s[fold == f])
+        at = np.clip(np.searchsorted(edges, raw) - 1, 0, bins - 1)
         return np.concatenate([np.bincount(at, minlength=bins), np.bincount(at, weights=y, minlength=bins)]).astype(float)
 
     h = _summed(rows, histogram)
@@ -235,12 +258,13 @@ def unpacked(b: pa.RecordBatch) -> np.ndarray:
 
 def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
     """The named columns and ``stats``, the statistics of ``text`` as little-endian 32-bit floats."""
-    rows = documents.select(*keep, F.col("text").cast("string").alias("_t"))
+    own = spare_name(keep, "text")
+    rows = documents.select(*keep, F.col("text").cast("string").alias(own))
     schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("stats", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            data, offsets, _ = text_column(b, "_t")
+            data, offsets, _ = text_column(b, own)
             stats = statistics(data, offsets).astype("<f4")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.tobytes() for x in stats], pa.binary())], names=schema.fieldNames())
 
@@ -279,10 +303,17 @@ def op6_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) ->
     return score(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents that score ``least`` or more, by a model of all labelled ones; columns as they are."""
+def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame, least: float = 0.3, sample: int = 50_000) -> DataFrame:
+    """The documents that score ``least`` or more; columns as they are.
+
+    The model is fit on at most ``sample`` labels, those of the least hashes of all, so that their ids may be
+    broadcast and statistics be made of their documents only, before every document is scored.
+    """
     scratch = Scratch(spark, "quality")
-    model = train(scratch.table(labelled(with_statistics(documents, ["doc_id"]), labels)))
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and _id is not null")
+    drawn = marks.orderBy(F.xxhash64("_id", "label"), "_id", "label").limit(sample)
+    known = documents.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    model = train(scratch.table(with_statistics(known, ["label"])))
     rows = documents.withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
