@@ -14,7 +14,7 @@ documents still to come can make up. What is left over a part is about the size
 
 Defined cases: a null text has size 0 and is taken as 0 words; a null source is a source of its own,
 ordered last; sources without words have target 0; an empty table gives no rows; repeated rows are
-documents of their own; a null id is kept; other columns are not read. Equal input gives equal output.
+documents of their own, however many have an id and a size in common; a null id is kept; other columns are not read. Equal input gives equal output.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, repeats_ids, spare_name
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -100,10 +100,15 @@ def copies(sized: DataFrame, state: DataFrame, base: float, most: float, part: i
     full = F.col("target") >= F.lit(most * (1 - 1e-12)) * F.col("source_size")
     w = F.when(full, F.lit(float(most))).otherwise(rate(F.col("size"), F.col("lam"), F.col("mean"), base, most))
     rated = sized.join(state.select("k", "lam", "mean", "target", "source_size", "n"), "k").withColumn("w", w)
-    mark = F.xxhash64(F.lit("mix"), "doc_id", "size")
-    dealt = rated.withColumn("part", F.pmod(mark, F.ceil(F.col("n") / part)))
+    # rows equal in id and size are counted, and chunks of them dealt like documents of their own, so a part stays at about ``part`` rows
+    same = rated.groupBy("k", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"), F.first("w").alias("w"), F.first("n").alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / part)))
+    chunks = same.withColumn("chunk", chunk).withColumn("rows", F.least(F.lit(part).cast("long"), F.col("rows") - F.col("chunk") * part).cast("int"))
+    mark = F.xxhash64(F.lit("mix"), "doc_id", "size", "chunk")
+    dealt = chunks.withColumn("part", F.pmod(mark, F.ceil(F.col("n") / part)))
     # about ``part`` documents each: a hash deals a source's documents into n / part parts
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), mark.alias("mark"), "doc_id", "w")))
+    each = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), mark.alias("mark"), "doc_id", "w", F.col("rows").alias("times"))))
+    rows = F.flatten(F.transform(each, lambda x: F.array_repeat(x, x["times"])))
     # up, down: what the documents still to come can add to their rates' words, and take from them
     start = F.struct(F.lit(0.0).alias("off"), F.col("up"), F.col("down"), F.expr("cast(array() as array<int>)").alias("got"))
 
@@ -120,7 +125,7 @@ def copies(sized: DataFrame, state: DataFrame, base: float, most: float, part: i
         return F.struct(best["off"].alias("off"), up.alias("up"), down.alias("down"), F.concat(acc["got"], F.array(best["c"])).alias("got"))
 
     words = F.col("size").cast("double")
-    lists = dealt.groupBy("k", "part").agg(rows.alias("rows"), F.sum((F.lit(float(most)) - F.col("w")) * words).alias("up"), F.sum(F.col("w") * words).alias("down"))
+    lists = dealt.groupBy("k", "part").agg(rows.alias("rows"), F.sum((F.lit(float(most)) - F.col("w")) * words * F.col("rows")).alias("up"), F.sum(F.col("w") * words * F.col("rows")).alias("down"))
     lists = lists.withColumn("got", F.aggregate("rows", start, place, lambda acc: acc["got"]))
     one = lists.select("k", F.explode(F.arrays_zip("rows", "got")).alias("x"))
     return one.select(F.col("x.rows.doc_id").alias("doc_id"), "k", (-F.col("x.rows.less")).alias("size"), F.col("x.got").alias("copies"), F.col("x.rows.w").alias("rate"))
@@ -147,13 +152,16 @@ def op10_mixing(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def take_copies(spark: SparkSession, documents: DataFrame, **how) -> DataFrame:
-    """The documents as often as the mix takes them; columns as they are. Repeated rows are told apart by number, so each gets copies of its own."""
-    key = ["doc_id", "source", "_size"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("_size"))
+    """The documents as often as the mix takes them; columns as they are. Rows that share an id are told apart by source, size and number, so each gets copies of its own."""
     names = documents.columns
-    mine = documents.withColumn("_size", word_count(F.col("text").cast("string"))).withColumn("_no", number)
-    got = mix(spark, documents, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_size"), "copies")
-    got = got.withColumn("_no", F.row_number().over(Window.partitionBy("_d", "_s", "_size").orderBy(F.desc("copies")))).withColumnRenamed("_size", "_z").withColumnRenamed("_no", "_k")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_no") == F.col("_k"))
-    both = mine.join(got.where("copies > 0"), same)
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*names)
+    size, number, copies_, copy, d, s, z, k = (spare_name(names, x) for x in ("size", "number", "copies", "copy", "of_id", "of_source", "of_size", "of_number"))
+    got = mix(spark, documents, **how).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").alias(copies_))
+    if repeats_ids(documents):
+        mine = documents.withColumn(size, word_count(F.col("text").cast("string")))
+        mine = mine.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(size)))
+        got = got.withColumn(k, F.row_number().over(Window.partitionBy(d, s, z).orderBy(F.desc(copies_))))
+        same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)) & (F.col(number) == F.col(k))
+    else:
+        mine, same = documents, F.col("doc_id").eqNullSafe(F.col(d))
+    both = mine.join(got.where(F.col(copies_) > 0), same)
+    return both.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies_)))).select(*names)
