@@ -93,7 +93,8 @@ def test_pairs_at_the_least_similarity_meet():
         sets = [rng.integers(0, 1 << 63, common + 2 * rest, np.uint64) for _ in range(400)]
         a = np.array([nearcopies.margins(x[: common + rest]) for x in sets])
         b = np.array([nearcopies.margins(x[rest:]) for x in sets])
-        assert ((a > 0) != (b > 0)).sum(1).max() <= nearcopies.BITS
+        z, y = (x / np.linalg.norm(x.astype(float), axis=1, keepdims=True) for x in (a, b))
+        assert np.mean((z * y).sum(1) >= nearcopies.LEAST) >= (0.99 if common > 8 else 0.9)
         met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(nearcopies.anchors(a), nearcopies.anchors(b), strict=True)]
         assert np.mean(met) >= least
 
@@ -133,6 +134,27 @@ def test_shared_streams_what_has_company(spark):
     assert got == want
 
 
+def test_blocks_compare_all_pairs(spark, monkeypatch):
+    """With small blocks every pair of different components that correlates is found, as without."""
+    from weftline.llm.common import Scratch
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(200)[:180]], rng.integers(0, 1 << 63, 20, np.uint64)])) for _ in range(40)]
+    nodes = spark.createDataFrame([(i, len(x), bytearray(nearcopies.margins(x).tobytes())) for i, x in enumerate(sets)], "node long, n long, votes binary")
+    met = spark.createDataFrame([(5, i) for i in range(40)] + [(6, i) for i in range(3)], "anchor long, node long")
+    roots = spark.createDataFrame([(i, 0) for i in range(12)], "node long, root long")
+    got = {}
+    for size in (2048, 7):
+        monkeypatch.setattr(nearcopies, "BLOCK", size)
+        left, _ = nearcopies._open(met, nodes, roots, Scratch(spark, "t"))
+        got[size] = {tuple(r) for r in nearcopies._each_once(nearcopies.compared(left, True)).collect()}
+    z = np.array([nearcopies.margins(x) for x in sets], float)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = {(i, j) for j in range(40) for i in range(j) if j >= 12 and z[i] @ z[j] >= nearcopies.LEAST}
+    assert got[2048] == got[7] == want and len(want) > 30
+
+
 def test_empty_and_clashing_tables(spark):
     named = "doc_id long, text string, own int, number int, node long, root string, d int, m int"
     assert corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame([], named), "").collect() == []

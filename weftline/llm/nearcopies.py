@@ -11,14 +11,18 @@ How many links are found: two texts at exactly 0.8 differ in 15% of the bits and
 simulation, and in the test), at 0.85 with 0.998. 72 equal random bits are unlikely at any size: unrelated texts
 meet at an anchor once in 2^36 / NEAR^2 pairs.
 
-Each candidate is verified on the whole sets of 64-bit shingle hashes. Texts of equal sets are one node. First each
-node is verified against three others at most, which are the least of all that share an anchor with it in three
-orders; copies of one text agree on these, so a group of any size takes rows in proportion to it. Then, at anchors
-whose nodes still are in several components, the nodes outside the largest one are compared with all nodes of other
-components (up to ``BITS`` of the fingerprints' bits apart and of sizes that the similarity allows). Pairs already
-in one component need no comparison, so nothing is lost by it.
+Fingerprints that meet are compared by the correlation of all their margins, which is that of the shingle sets with
+an error of 0.012; similar sets have 0.889 or more, and pairs below ``LEAST`` (four errors less) are no candidates.
+Each candidate is verified on the whole sets of 64-bit shingle hashes. Texts of equal sets are one node.
 
-Rows of an anchor are streamed in order and never held together.
+1. Each node is verified against three others at most, the least of all that share an anchor with it in three
+   orders; copies of one text agree on these, so a group of any size takes rows in proportion to it.
+2. At anchors whose nodes still are in several components, each node outside the largest one is compared with all
+   nodes of other components, and verified against the nearest of each anchor, ``NEAREST`` in all.
+3. What then still is in several components is compared likewise, and every candidate verified.
+
+Pairs already in one component need no comparison, so nothing is lost by it. An anchor with many nodes is compared
+in blocks of ``BLOCK`` nodes, each pair of blocks by a task of its own.
 
 Defined cases: null and empty texts, and those of white space, have no shingles and are copies of each
 other; a text of fewer than five words is one shingle; ids as in ``simhash``; the columns of the input are kept,
@@ -40,8 +44,8 @@ from .words import shingle_hashes
 #: Fingerprints of a text, each of BLOCKS codewords of 24 bits; anchors each is replicated to, and the codewords of a block that are looked at.
 PRINTS, BLOCKS, NEAR, CHOICES = 4, 3, 32, 8
 SIZE = 24 * BLOCKS * PRINTS
-#: Bits of all fingerprints in which two texts may differ to be compared: 3.9 standard deviations above what 0.8 gives at worst.
-BITS = 80
+#: The least correlation of margins of candidates, how many nearest ones a node is verified against at first, and nodes compared at a time.
+LEAST, NEAREST, BLOCK = 0.84, 4, 2048
 #: The least similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Shingles hashed at a time, and texts a batch.
@@ -230,6 +234,76 @@ def _star(open_: DataFrame) -> DataFrame:
     return pairs.where("u != v").distinct()
 
 
+def compared(rows: DataFrame, every: bool) -> DataFrame:
+    """u, v, corr: nodes of different components that correlate and have sizes that can be similar.
+
+    rows: anchor, i, j (the pair of the anchor's blocks), block, node, n, root, main, votes. u is outside the
+    anchor's largest component; of its partners at an anchor the nearest is given, or every one.
+    """
+
+    def pairs(held: list[tuple]) -> list[tuple]:
+        block, node, n, root, main = (np.array(x) for x in zip(*[r[:5] for r in held], strict=True))
+        z = np.frombuffer(b"".join(r[5] for r in held), np.int8).reshape(-1, SIZE).astype(np.float32)
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        two = held[0][6]
+        mine = np.nonzero(root != main)[0]
+        out = []
+        for lo in range(0, len(mine), 512):
+            at = mine[lo : lo + 512]
+            corr = z[at] @ z.T
+            small, large = np.minimum(n[at, None], n), np.maximum(n[at, None], n)
+            ok = (root[at, None] != root) & (DENOMINATOR * small >= NUMERATOR * large) & (corr >= LEAST)
+            if two:
+                ok &= block[at, None] != block
+            if every:
+                x, y = np.nonzero(ok)
+            else:
+                corr = np.where(ok, corr, -1)
+                x, y = np.arange(len(at)), corr.argmax(1)
+                good = corr[x, y] >= LEAST
+                x, y = x[good], y[good]
+            out += zip(node[at[x]].tolist(), node[y].tolist(), np.round(corr[x, y].astype(float), 4).tolist(), strict=True)
+        return out
+
+    def run(batches):
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            found = pairs(held)
+            u, v, corr = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(corr, pa.float64())], names=["u", "v", "corr"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        yield done()
+                    now, held = row[:3], []
+                held.append((*row[3:], row[1] != row[2]))
+        if len(held) > 1:
+            yield done()
+
+    key = ["anchor", "i", "j"]
+    dealt = rows.select(*key, "block", "node", "n", "root", "main", "votes").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(tidy(run), "u long, v long, corr double")
+
+
+def _open(open_: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """The rows of ``compared`` for the anchors whose nodes are in several components, and the written paths."""
+    held, held_at = scratch.write(open_.select("anchor", "node").join(roots, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root")))
+    sizes, sizes_at = scratch.write(held.groupBy("anchor", "root").agg(F.count(F.lit(1)).alias("k")))
+    several = sizes.groupBy("anchor").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("all")).where("roots > 1")
+    main, main_at = scratch.write(several.select("anchor", F.col("x.root").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
+    rows = held.join(main, "anchor").join(nodes.select("node", "n", "votes"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows, [held_at, sizes_at, main_at]
+
+
+def _each_once(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def groups(spark: SparkSession, documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, mark, root: rows of one root are near copies of each other, over any number of links."""
     scratch = scratch or Scratch(spark, "nearcopies")
@@ -238,53 +312,37 @@ def groups(spark: SparkSession, documents: DataFrame, scratch: Scratch | None =
     nodes, nodes_at = scratch.write(rows.groupBy("node").agg(F.min(first).alias("of"), F.max("n").alias("n"), F.max("votes").alias("votes")))
     dealt = nodes.where("n > 0").repartition(shuffle_width(spark), "node")
     open_, open_at = scratch.write(shared(replicated(dealt), shuffle_width(spark)))
-    one, one_at = scratch.write(_star(open_).join(nodes.select(F.col("node").alias("u"), F.col("n").alias("un")), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("vn")), "v").where(_close("un", "vn")).select("u", "v"))
+    size = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(c + "n"))
+    one, one_at = scratch.write(_each_once(_star(open_).join(size("u"), "u").join(size("v"), "v").where(_close("un", "vn"))))
     wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("of.doc_id", "of.mark", "node")
     sets, sets_at = scratch.write(with_sets(documents, wanted).dropDuplicates(["node"]))
-    edges, _ = scratch.write(verified(one, sets))
-    roots = components(edges, scratch)
-    bits = [f"b{i}" for i in range(-(-SIZE // 64))]
-    held = open_.select("anchor", "node").join(roots, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root"))
-    held, held_at = scratch.write(held)
-    sizes, sizes_at = scratch.write(held.groupBy("anchor", "root").agg(F.count(F.lit(1)).alias("k")))
-    main = sizes.groupBy("anchor").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("anchor", F.col("x.root").alias("main"))
-    left = held.join(main, "anchor").join(_with_bits(nodes, bits), "node")
-    left, left_at = scratch.write(left)
-    side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "root", *bits)]
-    a = left.where("root != main").select("anchor", *side("u"))
-    b = left.select("anchor", "main", *side("v"))
-    once = (F.col("vroot") == F.col("main")) | (F.col("unode") < F.col("vnode"))
-    apart = sum((F.bit_count(F.col("u" + c).bitwiseXOR(F.col("v" + c))) for c in bits[1:]), F.bit_count(F.col("ub0").bitwiseXOR(F.col("vb0"))))
-    cross = a.join(b, "anchor").where((F.col("uroot") != F.col("vroot")) & once & _close("un", "vn") & (apart <= BITS))
-    cross = cross.select(F.least("unode", "vnode").alias("u"), F.greatest("unode", "vnode").alias("v")).distinct()
-    more, _ = scratch.write(verified(cross, sets))
-    scratch.drop(nodes_at, open_at, one_at, sets_at, held_at, sizes_at, left_at)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch)
+    links, links_at = scratch.write(verified(one, sets))
+    roots = components(links, scratch)
+    scratch.drop(one_at, links_at)
+    for every in (False, True):
+        left, paths = _open(open_, nodes, roots, scratch)
+        found, found_at = scratch.write(compared(left, every))
+        if not every:  # of a node's nearest partners at its anchors, which are bounded in number, the nearest of all
+            best = found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("corr")).alias("far"), "v"))), 1, NEAREST).alias("x"))
+            found = best.select("u", F.explode("x.v").alias("v"))
+        pairs, pairs_at = scratch.write(_each_once(found))
+        links, links_at = scratch.write(verified(pairs, sets))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links), scratch)
+        scratch.drop(*paths, found_at, pairs_at, links_at)
+    scratch.drop(nodes_at, open_at, sets_at)
     return rows.select("doc_id", "mark", "node").join(roots, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
 
 
-def _with_bits(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """node, n and the fingerprints' bits, 64 in a column."""
-
-    def run(batches):
-        for b in batches:
-            votes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, SIZE)
-            packed = np.packbits(np.pad(votes > 0, ((0, 0), (0, 64 * len(names) - SIZE))), axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(names))]], names=["node", "n", *names])
-
-    return nodes.select("node", "n", "votes").mapInArrow(tidy(run), "node long, n long, " + ", ".join(f"{c} long" for c in names))
-
-
 def drop_near_copies(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """One document of each group, that of the least id (of the least text hash among rows that share it; null ids last)."""
     scratch = Scratch(spark, "nearcopies")
     rows, rows_at = scratch.write(groups(spark, documents, scratch))
-    each = rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x"))
+    each, each_at = scratch.write(rows.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    first, first_at = scratch.write(each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("x")))
     split = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("mark") == F.col("x.mark")))
     # what goes, and rows equal in id and text of which one stays
     gone = scratch.table(split.where("not stays or n > 1").select("doc_id", "mark", "stays"))
-    scratch.drop(rows_at)
+    scratch.drop(rows_at, each_at, first_at)
     names = documents.columns
     own, may, number, stays = spare_name(names, "own"), spare_name(names, "may"), spare_name(names, "number"), spare_name(names, "stays")
     marked = with_slot(documents.withColumn(own, text_mark()), F.col(own), slots(gone, "mark"), may)
