@@ -1,17 +1,25 @@
 """URL filters: rules by host and path, and a path-template tree for what no rule decides.
 
-For each host the tree is built level by level over path segments. Below a node, segments that hold a
-fair share of its pages stay literal; all others are variable and become one wildcard. Literal branches
-of a node whose labelled shares don't differ significantly (two-proportion test between neighbours in
-order of share, both with labels or both without) are merged into one branch. Pages that a rule decides
-are the labelled ones. A template is rejected if its smoothed share of blocked pages among the labelled
-reaches ``reject``; without labels of its own it is allowed.
-
-Only counts of branches are grouped - a host of any size is summed before it is shuffled - and a node
-has at most 1 / ``share`` literal branches, so windows over a node are small.
-
-Defined cases: a null url, or one without ``://``, has empty host and path (template ``/``); the
-tree is as deep as the longest path; repeated rows get equal verdicts; other columns are not read;
+For each host the tree is built level by level over path segments, of which each counts its pages, the labelled
+ones among them and the blocked ones among those. Pages that a rule decides are the labelled ones.
+
+Variable segments: where at least ``variable`` different segments of a node have fewer than ``least`` pages, the
+place is variable and those segments become one wildcard - but a segment whose labelled share differs significantly
+from that of the node's other segments (two-proportion test) keeps its name, however small it is. All other segments
+keep theirs, however many a node has.
+
+Similar branches: of a node's literal segments those without labels are merged, those nearly all allowed, and those
+nearly all blocked (share within ``pure`` of 0 or 1), unless a segment's share differs significantly from that of its
+group. Branches with mixed labels stay apart, as the levels below tell theirs apart.
+
+A template is rejected if its smoothed share of blocked pages reaches ``reject``. An unlabelled page counts as
+``weak`` of an allowed one there, so a few labels don't speak for many pages; without any label a template is allowed.
+
+All numbers are sums that are grouped in part before a shuffle, and written before they are joined to pages or
+segments, so that Spark can split the joins at a host that has many.
+
+Defined cases: a null url, or one without ``://``, has empty host and path (template ``/``); an empty segment keeps
+its place; the tree is as deep as the longest path; repeated rows get equal verdicts; other columns are not read;
 an empty table gives no rows.
 """
 
@@ -19,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -53,51 +61,66 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def templates(scratch: Scratch, pages: DataFrame, share: float = 0.05, least: int = 3, z: float = 1.96) -> DataFrame:
+def _differs(m1: Column, k1: Column, m2: Column, k2: Column, z: float) -> Column:
+    """Whether k1 of m1 and k2 of m2 are significantly different shares; without labels on either side they aren't."""
+    one, two = F.greatest(m1, F.lit(1)), F.greatest(m2, F.lit(1))
+    pooled = (k1 + k2) / F.greatest(m1 + m2, F.lit(1))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / one + 1 / two))
+    return (m1 > 0) & (m2 > 0) & (F.abs(k1 / one - k2 / two) > z * spread)
+
+
+def branches(scratch: Scratch, segments: DataFrame, variable: int, least: int, pure: float, z: float) -> DataFrame:
+    """host, template, seg, step of the segments (host, template, seg, n, m, k), a written table: the name each goes by in the next level's template."""
+    node, n, m, k = ["host", "template"], F.col("n"), F.col("m"), F.col("k")
+    rare = n < least
+    totals = scratch.table(segments.groupBy(*node).agg(F.sum("m").alias("all_m"), F.sum("k").alias("all_k"), F.count_if(rare).alias("rare")))
+    pooled = rare & (F.col("rare") >= variable) & ~_differs(m, k, F.col("all_m") - m, F.col("all_k") - k, z)
+    share = k / F.greatest(m, F.lit(1))
+    kind = F.when(F.col("seg") == "", "own").when(pooled, "*").when(m == 0, "none").when(share <= pure, "allowed").when(share >= 1 - pure, "blocked").otherwise("own")
+    told = scratch.table(segments.join(totals, node).select(*node, "seg", "m", "k", kind.alias("kind")))
+    groups = scratch.table(told.where("kind in ('none', 'allowed', 'blocked')").groupBy(*node, "kind").agg(F.sum("m").alias("group_m"), F.sum("k").alias("group_k"), F.min("seg").alias("first"), F.count(F.lit(1)).alias("members")))
+    both = told.join(groups, [*node, "kind"], "left")
+    alike = (F.col("members") > 1) & ~_differs(m, k, F.col("group_m") - m, F.col("group_k") - k, z)
+    step = F.when(F.col("kind") == "*", "*").when(alike, F.concat(F.lit("{"), F.col("first"), F.lit("|..}"))).otherwise(F.col("seg"))
+    return both.select(*node, "seg", step.alias("step"))
+
+
+def templates(scratch: Scratch, pages: DataFrame, variable: int = 8, least: int = 3, pure: float = 0.1, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, label, template of pages (page_id, host, path, rule, label: 1 block, 0 allow, null)."""
+    names = ["page_id", "host", "path", "rule", "label"]
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    rows = pages.withColumn("_seg", F.when(F.col("path").isin("", "/"), F.array().cast("array<string>")).otherwise(parts)).withColumn("template", F.lit(""))
-    rows = scratch.table(rows)
-    deepest = rows.agg(F.max(F.size("_seg"))).first()[0] or 0
+    rows = pages.select(*names, F.when(F.col("path").isin("", "/"), F.array().cast("array<string>")).otherwise(parts).alias("segs"), F.lit("").alias("template"))
+    rows, at = scratch.write(rows)
+    deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
     done = []
     for i in range(deepest):
-        done.append(rows.where(F.size("_seg") <= i))  # paths that end above have no part in this round
-        rows = rows.where(F.size("_seg") > i)
-        here = rows.withColumn("_s", F.get("_seg", F.lit(i)))
-        node = ["host", "template"]
-        sums = here.groupBy(*node, "_s").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
-        sums = scratch.table(sums)
-        total = sums.groupBy(*node).agg(F.sum("n").alias("_total"))
-        literal = sums.join(total, node).where((F.col("n") >= F.greatest(F.lit(float(least)), F.lit(share) * F.col("_total"))) & (F.col("_s") != ""))
-        by_share = Window.partitionBy(*node).orderBy(F.col("m") > 0, F.col("k") / F.greatest("m", F.lit(1)), "_s")
-        before = lambda c: F.lag(c).over(by_share)
-        m0, k0 = before("m"), before("k")
-        pooled = (k0 + F.col("k")) / F.greatest(m0 + F.col("m"), F.lit(1))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(m0, F.lit(1)) + 1 / F.greatest("m", F.lit(1))))
-        apart = F.abs(F.col("k") / F.greatest("m", F.lit(1)) - k0 / F.greatest(m0, F.lit(1))) > z * spread
-        new = m0.isNull() | ((m0 > 0) != (F.col("m") > 0)) | ((m0 > 0) & apart)
-        runs = literal.withColumn("_new", new.cast("int"))
-        runs = runs.withColumn("_run", F.sum("_new").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
-        names = F.sort_array(F.collect_list("_s").over(Window.partitionBy(*node, "_run")))
-        branch = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("_s"))
-        kept = runs.select(*node, "_s", branch.alias("_b"))
-        joined = here.join(kept, [*node, "_s"], "left")
-        step = F.concat(F.lit("/"), F.coalesce("_b", F.when(F.col("_s") == "", "").otherwise("*")))
-        rows = scratch.table(joined.withColumn("template", F.concat("template", step)).select(*rows.columns))
+        ended, _ = scratch.write(rows.where(F.size("segs") <= i))  # paths that end above have no part in this round
+        done.append(ended)
+        here = rows.where(F.size("segs") > i).withColumn("seg", F.get("segs", F.lit(i)))
+        node = ["host", "template", "seg"]
+        sums = here.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.coalesce(F.sum("label"), F.lit(0)).alias("k"))
+        named = scratch.table(branches(scratch, scratch.table(sums), variable, least, pure, z))
+        joined = here.join(named, node).select(*names, "segs", F.concat("template", F.lit("/"), "step").alias("template"))
+        rows, new_at = scratch.write(joined)
+        scratch.drop(at)
+        at = new_at
     rows = reduce(DataFrame.unionByName, done, rows)
-    return rows.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template"))).drop("_seg")
+    return rows.select(*names, F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, prior: float = 0.1, strength: float = 2.0, reject: float = 0.5) -> DataFrame:
+def judge(
+    spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, prior: float = 0.1, strength: float = 2.0, weak: float = 0.02, reject: float = 0.5
+) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
     scratch = Scratch(spark, "urls")
     url = F.col("url").cast("string")
     split = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     marked = split.withColumn("rule", name).withColumn("label", (verdict == "block").cast("int"))
-    rows = templates(scratch, marked)
-    purity = (F.coalesce(F.sum("label"), F.lit(0)) + strength * prior) / (F.count("label") + strength)
-    judged = rows.join(rows.groupBy("host", "template").agg(purity.alias("purity")), ["host", "template"])
+    rows = scratch.table(templates(scratch, marked))
+    unlabelled = F.count(F.lit(1)) - F.count("label")
+    purity = (F.coalesce(F.sum("label"), F.lit(0)) + strength * prior) / (F.count("label") + strength + weak * unlabelled)
+    judged = rows.join(scratch.table(rows.groupBy("host", "template").agg(purity.alias("purity"))), ["host", "template"])
     own = F.when(F.col("purity") >= reject, "block").otherwise("allow")
     said = F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow").otherwise(own)
     return judged.select("page_id", "host", "path", "rule", said.alias("verdict"), "template", "purity")
