@@ -9,8 +9,8 @@ class scores for each subword.
 Probabilities are tempered on a part of the training sample that the descent doesn't see, where the
 rejection threshold is set too: the least score above which predictions reach ``precision``.
 
-Training reads at most ``per_language`` labelled rows of each language, chosen by a hash of the id over
-the whole table, as bucket counts made on the executors (never more than BUCKETS numbers a text).
+Training reads about ``per_language`` labelled texts of each language at most, chosen by a hash of id and text over
+the whole table, equal texts once, as bucket counts made on the executors (never more than BUCKETS numbers a text).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; other texts
 always get a learned language; without any labelled row all are ``und``; repeated rows get equal
@@ -138,8 +138,10 @@ def train(documents: DataFrame, per_language: int = 400, dim: int = 16, epochs:
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    # rows that share an id are drawn apart by their texts, and equal texts count once, so the sample is bounded whatever repeats
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(draw < share[F.col("label")]).where(F.col("text").rlike(r"\p{L}"))
+    sample = sample.withColumn("mark", F.xxhash64("text")).dropDuplicates(["label", "mark"])
     got = sorted((r.label, bytes(r.buckets), bytes(r.shares)) for r in _counts(sample).collect())  # about per_language rows a language
     languages = sorted({g[0] for g in got})
     if not languages:

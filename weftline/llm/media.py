@@ -57,6 +57,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if not w or not h or not 0 < top < 65536:
         raise ValueError("netpbm size")
     n = w * h * channels
+    if n > 8 * len(data):  # no kind has more samples than its bytes have bits
+        raise ValueError("netpbm samples")
     if plain:
         body = data[at - 1 :]
         if b"#" in body:
@@ -70,8 +72,12 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at)
     if len(flat) < n:
         raise ValueError("netpbm samples")
+    if (flat > top).any() or (flat < 0).any():
+        raise ValueError("netpbm sample beyond its maximum")
     if bits:
         flat = 255 * (1 - flat.astype(np.uint8))
+    elif top not in (255, 65535):  # to the full range of its type
+        flat = np.rint(flat * ((65535 if top > 255 else 255) / top))
     shape = (h, w, 3) if channels == 3 else (h, w)
     return flat.reshape(shape).astype(np.uint16 if top > 255 else np.uint8, copy=False)
 
@@ -82,9 +88,14 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if head < 40 or depth not in (8, 24, 32) or packed not in (0, 3) or packed == 3 and depth != 32 or w <= 0 or h == 0:
         raise ValueError("bmp kind")
     rows, step = abs(h), -(-w * depth // 32) * 4
+    if rows * step > len(data):
+        raise ValueError("bmp samples")
     body = np.frombuffer(data, np.uint8, rows * step, at).reshape(rows, step)[:, : w * depth // 8]
     if h > 0:
         body = body[::-1]
+    if packed == 3:
+        pixels = np.ascontiguousarray(body).view("<u4").astype(np.int64)
+        return np.stack([_bit_field(pixels, mask) for mask in struct.unpack_from("<III", data, 54)], axis=-1)
     if depth == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
         table = np.zeros((256, 3), np.uint8)
@@ -94,8 +105,19 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(body.reshape(rows, w, depth // 8)[..., 2::-1])
 
 
+def _bit_field(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """A colour by its mask of adjacent bits, to the full range of a byte."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    shift = (mask & -mask).bit_length() - 1
+    top = mask >> shift
+    if top & (top + 1):
+        raise ValueError("bmp mask")
+    return np.rint((pixels & mask) / (1 << shift) * (255 / top)).astype(np.uint8)
+
+
 def decode(data: bytes) -> np.ndarray:
-    """(height, width) or (height, width, 3) samples of a P1 to P6 Netpbm or an uncompressed BMP image."""
+    """(height, width) or (height, width, 3) samples of a P1 to P6 Netpbm or an uncompressed BMP image, over the full range of 8 or 16 bits."""
     if len(data) > 2 and data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
         return _decode_netpbm(data)
     if data[:2] == b"BM":
@@ -157,7 +179,7 @@ def media_features(df: DataFrame, column: str = "media", tile: int = 16) -> Data
             return (None,) * 7
         try:
             image = decode(data)
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, OverflowError) as e:
             return (None,) * 6 + (str(e) or "media",)
         small = np.clip(np.rint(area_resize(grey(image), tile, tile) / (257 if image.dtype == np.uint16 else 1)), 0, 255).astype(np.uint8)
         return image.shape[1], image.shape[0], 1 if image.ndim == 2 else 3, image.tobytes(), npy(small), dhash(image), None

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, tidy
+from .common import Scratch, spare_name, tidy
 
 #: Words that one of a Python worker's two generations of remembered words holds, and the bytes of the longest.
 CACHE_WORDS, CACHE_BYTES = 250_000, 32
@@ -46,11 +46,24 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, bool)
         self.ends[[i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word.endswith("</w>")]] = True
+        self.by_word = self._by_word()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    #: Texts on which a tokenizer must give the ids of the lower-cased words in order for words to be remembered.
+    PROBES = ("Hello wide World", "one,two  THREE\tfour.\nFive!", "Größe ÉCOLE straße 12 34", "a b c")
+
+    def _by_word(self) -> bool:
+        """Whether ids can be put together from those of words, each ending in a token that ends a word."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        for probe in self.PROBES:
+            words = [ids(w) for w in probe.lower().split()]
+            if ids(probe) != [i for w in words for i in w] or not all(w and self.ends[w[-1]] for w in words):
+                return False
+        return True
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
@@ -115,11 +128,14 @@ def _words(path: str) -> WordIds:
 def token_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Each text's ids, closing id included, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never lets a token reach over white space and lower-cases, so a text's ids are those
-    of its lower-cased words in order, and each different word is encoded once. A text with the
+    A tokenizer that never lets a token reach over white space, lower-cases and marks the ends of words gives a
+    text the ids of its lower-cased words in order, so each different word is encoded once; with any other, texts
+    are encoded whole. A text with the
     beginning of a special token's name is not lower-cased before, as those names are looked for first.
     """
     held, out = _words(path), []
+    if not held.by_word:  # another kind of tokenizer: whole texts as they are
+        return [np.array([*held.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], "<u4").tobytes() for t in texts]
     end = end_id.to_bytes(4, "little")
     group: list[bytes] = []
     size = 0
@@ -286,20 +302,23 @@ def pack(pieces: DataFrame, capacity: int = 4096, bucket_rows: int = 20_000) ->
     plan = spark.createDataFrame(best_fit_decreasing(counts, capacity), PLAN)
     by = [c for c, kind in pieces.dtypes if kind != "binary"]
     buckets = max(64, sum(counts.values()) // bucket_rows)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
-    group = ["length", "_bucket"]
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*by)) - 1).join(starts, group)
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_rn")).drop("_bucket", "_rn", "_before")
-    p = F.broadcast(plan.withColumnRenamed("length", "_length"))  # its size depends on the capacity alone
-    here = F.col("_rank") - F.col("lo")
-    placed = ranked.join(p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
+    bucket, n, less, number, rank = (spare_name(pieces.columns, x) for x in ("bucket", "n", "less", "number", "rank"))
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(buckets)))
+    group = ["length", bucket]
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias(n))
+    starts = starts.select(*group, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(less))
+    ranked = dealt.withColumn(number, F.row_number().over(Window.partitionBy(*group).orderBy(*by)) - 1).join(starts, group)
+    ranked = ranked.withColumn(rank, F.col(less) + F.col(number)).drop(bucket, number, less)
+    names = {c: spare_name([*pieces.columns, rank], "plan_" + c) for c in plan.columns}
+    p = F.broadcast(plan.select(*[F.col(c).alias(names[c]) for c in plan.columns]))  # its size depends on the capacity alone
+    x = {c: F.col(names[c]) for c in plan.columns}
+    here = F.col(rank) - x["lo"]
+    placed = ranked.join(p, (F.col("length") == x["length"]) & (F.col(rank) >= x["lo"]) & (F.col(rank) < x["hi"]))
     return placed.select(
         *pieces.columns,
-        (F.col("first") + F.floor(here / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("base") + here % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        (x["first"] + F.floor(here / x["each"])).cast("long").alias(spare_name(pieces.columns, "sequence_id")),
+        (x["base"] + here % x["each"] * F.col("length")).cast("long").alias(spare_name(pieces.columns, "offset")),
     )
 
 

@@ -26,6 +26,8 @@ from .common import shuffle_width, spare_name, tidy
 from .words import WORDS, shingle_hashes
 
 K = 128
+#: Bytes of a range of documents, and the ranges that an approximate percentile can tell apart.
+RANGE, MOST_RANGES = 16 << 20, 9_000
 _FULL = float(1 << 64)
 
 
@@ -91,20 +93,56 @@ def with_sketch(df: DataFrame, column: str = "text", name: str = "sketch", k: in
 def merge_sketches(df: DataFrame, keys: list[str], column: str = "sketch", k: int = K, salts: int = 64) -> DataFrame:
     """keys, sketch, distinct: each group's merged sketch; a group of any size is merged in ``salts`` parts first."""
     kinds = df.select(*keys).schema
-
-    def least(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(0, np.uint64)
-        for x in pdf[column]:
-            if x is not None:
-                total = merge(total, from_text(x), k)
-        out = pdf[keys].head(1).copy()
-        out["sketch"], out["distinct"] = to_text(total), distinct(total, k)
-        return out
+    salt = spare_name(df.columns, "salt")
 
     schema = T.StructType([*kinds.fields, T.StructField("sketch", T.StringType()), T.StructField("distinct", T.DoubleType())])
-    salted = df.select(*keys, F.col(column), F.pmod(F.xxhash64(F.col(column)), F.lit(salts)).alias("_salt"))
-    first = salted.groupBy(*keys, "_salt").applyInPandas(least, schema)
-    return first.withColumnRenamed("sketch", column).groupBy(*keys).applyInPandas(least, schema)
+    # equal sketches add nothing; the others are dealt by a hash, and each part keeps one sketch while its rows stream by
+    salted = df.select(*keys, F.col(column)).distinct().withColumn(salt, F.pmod(F.xxhash64(F.col(column)), F.lit(salts)))
+    first = _streamed(salted, keys, [*keys, salt], column, k)
+    return _streamed(first, keys, keys, "sketch", k).withColumn("distinct", _distinct_of(k)("sketch")).select(schema.fieldNames())
+
+
+def _streamed(rows: DataFrame, keys: list[str], by: list[str], column: str, k: int) -> DataFrame:
+    """keys, sketch: the merged sketch of each group of equal ``by``, of which only one sketch is held at a time."""
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("sketch", T.StringType())])
+    n = len(keys)
+
+    def run(batches):
+        now, total = None, np.zeros(0, np.uint64)
+        made: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(arrow)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(found, schema=arrow)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:-1] != now:
+                    if now is not None:
+                        made.append((*now[:n], to_text(total)))
+                    now, total = row[:-1], np.zeros(0, np.uint64)
+                if row[-1] is not None:
+                    total = merge(total, from_text(row[-1]), k)
+            if len(made) > 500:
+                yield out()
+        if now is not None:
+            made.append((*now[:n], to_text(total)))
+        if made:
+            yield out()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+    return rows.select(*by, column).repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(run), schema)
+
+
+def _distinct_of(k: int):
+    @F.pandas_udf(T.DoubleType())
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: distinct(from_text(x), k))
+
+    return found
 
 
 def _ranges(documents: DataFrame, parts: int) -> tuple[list[int], bool]:
@@ -124,7 +162,9 @@ def with_next(documents: DataFrame, make: callable, schema: T.StructType) -> Dat
     before. ``remembered`` is a dict for values of a text that the next call wants again.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = shuffle_width(documents.sparkSession)
+    # about RANGE bytes of the input's files for each range, and no fewer ranges than shuffles have partitions
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = max(shuffle_width(documents.sparkSession), min(size // RANGE, MOST_RANGES) if size < 1 << 60 else 0)  # beyond: not known
     cuts, nulls = _ranges(rows, parts)
     n = max(1, len(cuts))
     starts = np.array(cuts, np.int64)
@@ -138,7 +178,7 @@ def with_next(documents: DataFrame, make: callable, schema: T.StructType) -> Dat
         return pd.Series([[{"b": int(x), "tail": False}] + ([{"b": int((x - 1) % n), "tail": True}] if f else []) for x, f in zip(b, first, strict=True)])
 
     dealt = rows.withColumn("at", F.explode(places("doc_id"))).select("at.b", "at.tail", "doc_id", "text")
-    dealt = dealt.repartition(n, "b").sortWithinPartitions("b", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(n, F.col("b").cast("int")).sortWithinPartitions("b", "tail", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         held, kept = None, {}

@@ -303,6 +303,7 @@ def _by_bytes(suffixes: SuffixOrder, of, lead, at, group, d, m, p, length: int)
 def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int) -> DataFrame:
     """d, m, runs (list of begin, end): the covered bytes of the documents (d, m, text) that have any."""
     scratch = Scratch(spark, "suffixes")
+    # the number of buckets follows the rows; a bucket's blobs are settled together
     buckets = max(4 * shuffle_width(spark), texts.select("d").count() // BUCKET_DOCS)
     item = ANCHOR.itemsize
 
@@ -370,7 +371,6 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
 
     dealt = texts.mapInArrow(tidy(find), "bucket long, blob binary").repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
     found = scratch.table(dealt.mapInArrow(tidy(meet), FOUND))
-    spark.sparkContext._jvm.System.gc()  # lets the first shuffle's files go before the next ones come
 
     ends = found.where("kind = 1").groupBy("d", "m").agg(F.collect_list(F.struct("a", "b")).alias("marks"))  # bounded by the text
 
@@ -409,7 +409,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
             yield out
 
     # the same exchange of texts serves here and where the runs are cut out
-    with_ends = texts.join(ends.hint("shuffle_hash"), ["d", "m"], "left").where("marks is not null")
+    with_ends = texts.join(ends, ["d", "m"], "left").where("marks is not null")
     contexts = with_ends.select("d", "m", "text", "marks").mapInArrow(tidy(fetch), "h long, d long, m long, x long, context binary")
     contexts = contexts.repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
     runs = found.where("kind = 0").unionByName(contexts.mapInArrow(tidy(order), FOUND))
@@ -452,7 +452,7 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, length: int = 10
                 span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans_, span), pa.array(kept, pa.binary())], names=["d", "n_bytes", "spans", "kept"])
 
-    joined = texts.join(runs.hint("shuffle_hash"), ["d", "m"], "left").select("d", "m", "text", "runs")
+    joined = texts.join(runs, ["d", "m"], "left").select("d", "m", "text", "runs")
     out = joined.mapInArrow(tidy(cut), "d long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
     return out.select(F.when(F.col("d") != LEAST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept")
 
