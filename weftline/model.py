@@ -2,47 +2,46 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass, field, fields, replace
 
 LABEL_LANGUAGES = ("cs", "en")
 
 
-@dataclass(frozen=True)
+#: What a vocabulary names: kinds of records, their properties and the properties of a run.
+ROLES = (
+    "dataset", "application", "transformer", "input", "has_template", "imports", "has_group", "has_transformer", "has_definition", "sample", "configuration", "input_port",
+    "output_port", "feature", "executor", "configuration_query", "descriptor", "query", "applies_to", "service", "definition", "title", "description", "endpoint",
+)
+
+
 class Vocabulary:
-    """The IRIs that definitions are written with, below one base that the definitions' author chose."""
+    """The IRIs that definitions are written with: one for each of ROLES, and one for each setting that a definition may give."""
+
+    def __init__(self, terms: dict[str, str], settings: dict[str, str] | None = None, base: str = ""):
+        """terms: role to IRI; settings: field of Settings to IRI; what has no scheme is put behind ``base``."""
+        known = {f.name for f in fields(Settings)}
+        if missing := [x for x in ROLES if x not in terms]:
+            raise ValueError("the vocabulary lacks " + ", ".join(missing))
+        if strange := sorted({*terms} - {*ROLES} | {*(settings or {})} - known):
+            raise ValueError("the vocabulary has unknown entries: " + ", ".join(strange))
+        whole = lambda x: x if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", x) else base + x
+        self.terms = {k: whole(v) for k, v in terms.items()}
+        self.settings = {whole(v): k for k, v in (settings or {}).items()}
 
-    base: str
-    definition: str = "urn:DiscoveryConfiguration"
-    title: str = "http://purl.org/dc/terms/title"
-    description: str = "http://purl.org/dc/terms/description"
-    endpoint: str = "http://www.w3.org/ns/sparql-service-description#endpoint"
+    @staticmethod
+    def read(path: str) -> Vocabulary:
+        """From a JSON file: {"base": IRI, "terms": {role: IRI or ending}, "settings": {field: IRI or ending}}."""
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        return Vocabulary(found["terms"], found.get("settings"), found.get("base", ""))
 
     def __getattr__(self, name: str) -> str:
-        paths = {
-            "dataset": "DataSourceTemplate",
-            "application": "ApplicationTemplate",
-            "transformer": "TransformerTemplate",
-            "input": "discovery/Input",
-            "has_template": "discovery/hasTemplate",
-            "imports": "discovery/import",
-            "has_group": "discovery/hasTransformerGroup",
-            "has_transformer": "discovery/hasTransformer",
-            "has_discovery": "experiment/hasDiscovery",
-            "sample": "outputDataSample",
-            "configuration": "componentConfigurationTemplate",
-            "input_port": "inputTemplate",
-            "output_port": "outputTemplate",
-            "feature": "feature",
-            "executor": "executor",
-            "configuration_query": "configurationQuery",
-            "descriptor": "descriptor",
-            "query": "query",
-            "applies_to": "appliesTo",
-            "service": "service",
-        }
-        if name not in paths:
-            raise AttributeError(name)
-        return self.base + paths[name]
+        try:
+            return self.__dict__["terms"][name]
+        except KeyError:
+            raise AttributeError(name) from None
 
 
 def label(texts: dict[str, str], languages: tuple[str, ...] = LABEL_LANGUAGES) -> str:
@@ -161,11 +160,11 @@ class Settings:
     time_limit_minutes: int | None = None
     use_strong_groups: bool | None = None
     url_cache: str | None = None
-    max_level_seconds: int | None = None
+    node_time_limit_seconds: int | None = None
 
     def merged(self, other: Settings) -> Settings:
         """This one's values, the other's where this one has none."""
         return replace(self, **{f.name: getattr(other, f.name) for f in fields(self) if getattr(self, f.name) is None})
 
 
-DEFAULTS = Settings(level_limit=-1, output="./output", filter="diff", use_mapping=False, store="memory", resume=False, time_limit_minutes=-1, use_strong_groups=False, url_cache=None)
+DEFAULTS = Settings(level_limit=-1, output="./output", filter="diff", use_mapping=False, store="files", resume=False, time_limit_minutes=-1, use_strong_groups=False, url_cache=None, node_time_limit_seconds=-1)

@@ -14,7 +14,7 @@ redone from there; only counts come to the driver.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -29,7 +29,7 @@ from weftline.plans.compiler import Compiler
 
 from . import graphs as g
 from .prune import strong_groups
-from .storage import cut
+from .storage import SampleStore, cut
 
 FILTERS = ("none", "diff", "isomorphic")
 
@@ -70,12 +70,14 @@ def matches(triples: DataFrame, components: list[Component], graph_ids: DataFram
 
 @dataclass
 class Result:
-    """nodes and graphs as tables; levels: (level, start nodes, duration ms); reason: why the run ended (done, level-limit, time-limit, listener)."""
+    """nodes and graphs as tables; levels: (level, start nodes, duration ms); reason: why the run ended (done, level-limit, time-limit, node-time-limit, listener)."""
 
     nodes: DataFrame
     graphs: DataFrame
     levels: list[tuple[int, int, int]] = field(default_factory=list)
     reason: str = "done"
+    #: Milliseconds spent on matching guards, rewriting and filtering.
+    timers: dict[str, int] = field(default_factory=dict)
     #: The children that wait for a next level, empty when done.
     queue: DataFrame | None = None
 
@@ -83,18 +85,34 @@ class Result:
 class Listener:
     """Hooks of a run; a False from any of the level hooks ends the run. All are called, whatever the others say."""
 
+    #: Why the run ended, if this listener ended it.
+    reason = "listener"
+
     def will_run(self) -> None: ...
 
     def level_will_start(self, level: int, start_nodes: int) -> bool:
         return True
 
+    def nodes_will_expand(self, level: int, nodes: DataFrame) -> None:
+        """nodes: those of the level that no group pruned, before their graphs are made."""
+
+    def nodes_did_expand(self, level: int, nodes: DataFrame) -> None:
+        """nodes: those of the level, judged."""
+
     def level_did_end(self, level: int, nodes: DataFrame) -> bool:
         return True
 
     def did_run(self, result: Result) -> None: ...
 
+    def clean_up(self) -> None:
+        """Called at the end, after a failure too."""
+
 
 class TimeLimit(Listener):
+    """Ends the run after the level in which the time is up."""
+
+    reason = "time-limit"
+
     def __init__(self, seconds: float):
         self.seconds, self.began = seconds, 0.0
 
@@ -105,19 +123,47 @@ class TimeLimit(Listener):
         return time.monotonic() - self.began < self.seconds
 
 
+class NodeTimeLimit(Listener):
+    """Ends the run after a level that took more than so many seconds for each of its nodes; a level is one batch, so this is their mean."""
+
+    reason = "node-time-limit"
+
+    def __init__(self, seconds: float):
+        self.seconds, self.began, self.nodes = seconds, 0.0, 0
+
+    def level_will_start(self, level: int, start_nodes: int) -> bool:
+        self.began, self.nodes = time.monotonic(), start_nodes
+        return True
+
+    def level_did_end(self, level: int, nodes: DataFrame) -> bool:
+        return time.monotonic() - self.began <= self.seconds * self.nodes
+
+
+def _ended(listeners: list[Listener], hook: str, *what) -> str | None:
+    """The reason of the first listener that says so; all are asked."""
+    said = [x.reason for x in listeners if not getattr(x, hook)(*what)]
+    return said[0] if said else None
+
+
+class Timers(dict):
+    """Milliseconds by name, added up."""
+
+    @contextmanager
+    def of(self, name: str):
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self[name] = self.get(name, 0) + int(1000 * (time.monotonic() - began))
+
+
 def _fingerprints(triples: DataFrame, roots: DataFrame, how: str, blank: bool) -> DataFrame:
     """graph_id, fp, n by the filter's notion of sameness; roots: triples with run_id, of each run's root."""
-    if how != "diff":
+    if how != "diff" or not blank:  # of ground graphs, those that add the same to and lack the same of their root are equal
         return g.fingerprints(triples, blank).select("graph_id", "fp")
-    runs = triples.withColumn("run_id", F.substring_index("graph_id", "|", 1))
-    base = roots.select("run_id", *TRIPLE).distinct()
-    new = runs.join(base, ["run_id", *TRIPLE], "left_anti").drop("run_id")
-    ids = runs.select("run_id", "graph_id").distinct()
-    lost = ids.join(base, "run_id").join(runs, ["run_id", "graph_id", *TRIPLE], "left_anti").drop("run_id")
-    plus = g.fingerprints(new, blank).select("graph_id", F.col("fp").alias("plus"))
-    less = g.fingerprints(lost, blank).select("graph_id", F.col("fp").alias("less"))
-    both = ids.select("graph_id").join(plus, "graph_id", "left").join(less, "graph_id", "left")
-    return both.select("graph_id", F.md5(F.concat_ws("|", F.coalesce("plus", F.lit("")), F.coalesce("less", F.lit("")))).alias("fp"))
+    ids = triples.select("graph_id").distinct()
+    found = g.fingerprints(_compared(triples, roots, how), blank).select("graph_id", "fp")
+    return ids.join(found, "graph_id", "left").withColumn("fp", F.coalesce("fp", F.md5(F.lit(""))))
 
 
 def _compared(triples: DataFrame, roots: DataFrame, how: str) -> DataFrame:
@@ -127,6 +173,7 @@ def _compared(triples: DataFrame, roots: DataFrame, how: str) -> DataFrame:
     runs = triples.withColumn("run_id", F.substring_index("graph_id", "|", 1))
     base = roots.select("run_id", *TRIPLE).distinct()
     new = runs.join(base, ["run_id", *TRIPLE], "left_anti")
+    # what each graph lacks: its run's root triples, less its own
     lost = runs.select("run_id", "graph_id").distinct().join(base, "run_id").join(runs, ["run_id", "graph_id", *TRIPLE], "left_anti")
 
     def marked(rows: DataFrame, mark: str) -> DataFrame:
@@ -171,13 +218,15 @@ def explore(
     listeners: list[Listener] | None = None,
     resume: Result | None = None,
     include_root: bool = False,
+    store: SampleStore | None = None,
 ) -> Result:
     """Explores from roots (run_id and triples) until nothing new is found, or through ``level_limit`` levels.
 
     filter: none takes every child as new (a limit is then required), diff compares what a graph adds to
     and lacks of its root, isomorphic the whole graph. blank: whether blank nodes may occur (None: looked
     up in roots and rules); without them fingerprints need no refinement. groups: strong groups to prune
-    by. runs: run ids, for roots that may have no triples. resume: an unfinished result to go on from.
+    by. runs: run ids, for roots that may have no triples. resume: an unfinished result to go on from. store:
+    what holds the graphs between levels; files unless given.
     """
     if filter not in FILTERS:
         raise ValueError(f"unknown filter {filter!r}")
@@ -187,9 +236,17 @@ def explore(
     rules = [q.parse_update(x.rule) for x in transformers]
     if blank is None:
         blank = _mints_blanks(rules) or bool(roots.where((F.col("s_kind") == t.BNODE) | (F.col("o_kind") == t.BNODE)).limit(1).count())
-    listeners = listeners or []
+    listeners, store, timers = listeners or [], store or SampleStore(spark), Timers(resume.timers if resume else {})
     for x in listeners:
         x.will_run()
+    try:
+        return _run(roots, applications, transformers, rules, filter, level_limit, groups, prefix, blank, runs, listeners, resume, include_root, store, timers)
+    finally:
+        for x in listeners:
+            x.clean_up()
+
+
+def _run(roots, applications, transformers, rules, filter, level_limit, groups, prefix, blank, runs, listeners, resume, include_root, store, timers) -> Result:
     ids = (runs if runs is not None else roots).select("run_id").distinct()
     roots = cut(roots.select("run_id", *TRIPLE).distinct())
     if resume is None:
@@ -205,7 +262,7 @@ def explore(
         first = roots.select(F.concat_ws("|", "run_id", F.lit(prefix + "root")).alias("graph_id"), *TRIPLE)
         expanded, graphs = _matched(root, first, applications, [F.array().cast(NODES.rsplit("path ", 1)[1]).alias("before")])
         done = [cut(expanded.withColumn("fp", F.lit(None).cast("string")).select(*_COLUMNS))]
-        stored = [cut(graphs)]
+        stored = [store.add(graphs, "ROOT")]
         visited = None
         if include_root and filter != "none":
             visited = cut(_fingerprints(stored[0], roots, filter, blank).select(F.substring_index("graph_id", "|", 1).alias("run_id"), F.lit(prefix + "root").alias("node_id"), "fp"))
@@ -222,12 +279,15 @@ def explore(
         if level_limit >= 0 and level > level_limit:
             reason = "level-limit"
             break
-        if not all([x.level_will_start(level, start) for x in listeners]):
-            reason = "listener"
+        if said := _ended(listeners, "level_will_start", level, start):
+            reason = said
             break
         began = time.monotonic()
         work = queue.where("not pruned")
-        made = cut(_rewritten(work, parents, transformers, rules, prefix, level))
+        for x in listeners:
+            x.nodes_will_expand(level, work)
+        with timers.of("update"):
+            made = cut(_rewritten(work, parents, transformers, rules, prefix, level))
         if filter == "none":
             judged = work.withColumn("fp", F.lit(None).cast("string")).withColumn("again", F.lit(False))
         else:
@@ -240,29 +300,34 @@ def explore(
                 if visited is not None:
                     known = visited.select("run_id", "fp", F.lit(True).alias("known"))
                     judged = judged.join(known, ["run_id", "fp"], "left").withColumn("again", F.col("again") | F.col("known").isNotNull()).drop("known")
-        judged = cut(judged)
+        with timers.of("filter"):
+            judged = cut(judged)
+        for x in listeners:
+            x.nodes_did_expand(level, judged)
         new = judged.where("not again")
         keep = new.select(F.concat_ws("|", "run_id", "node_id").alias("graph_id"))
         fresh = made.join(keep, "graph_id", "left_semi")
         expanded, fresh = _matched(new.drop("again"), fresh, applications, ["before"], fps=True)
         old = judged.where("again").drop("again").unionByName(queue.where("pruned").withColumn("fp", F.lit(None).cast("string")))
         old = old.withColumn("applications", F.array().cast("array<string>")).withColumn("redundant", F.lit(True)).withColumn("expanded", F.lit(True))
-        nodes = cut(expanded.select(*_COLUMNS).unionByName(_with_path(old).select(*_COLUMNS)))
-        stored.append(cut(fresh))
+        with timers.of("ask-applications"):
+            nodes = cut(expanded.select(*_COLUMNS).unionByName(_with_path(old).select(*_COLUMNS)))
+        with timers.of("store"):
+            stored.append(store.add(fresh, "NODE"))
         done.append(nodes)
         if filter != "none":
             more = nodes.where("not redundant").select("run_id", "node_id", "fp")
-            visited = cut(visited.unionByName(more)) if visited is not None else more
-        queue, parents = _children(nodes.where("not redundant"), queue, stored[-1], transformers, groups, prefix, level), stored[-1]
+            visited = visited.unionByName(more) if visited is not None else more  # written tables, one a level
+        with timers.of("ask-transformers"):
+            queue, parents = _children(nodes.where("not redundant"), queue, stored[-1], transformers, groups, prefix, level), stored[-1]
         levels.append((level, start, int(1000 * (time.monotonic() - began))))
-        if not all([x.level_did_end(level, nodes) for x in listeners]):
-            reason = "time-limit" if any(isinstance(x, TimeLimit) for x in listeners) else "listener"
-            level += 1
+        if said := _ended(listeners, "level_did_end", level, nodes):
+            reason = said
             break
         level += 1
     nodes = reduce(DataFrame.unionByName, done)
     waiting = _with_path(queue).withColumn("fp", F.lit(None).cast("string")).withColumn("applications", F.array().cast("array<string>")).withColumn("redundant", F.col("pruned")).withColumn("expanded", F.lit(False))
-    result = Result(nodes.unionByName(waiting.select(*_COLUMNS)), reduce(DataFrame.unionByName, stored), levels, reason, queue)
+    result = Result(nodes.unionByName(waiting.select(*_COLUMNS)), reduce(DataFrame.unionByName, stored), levels, reason, dict(timers), queue)
     for x in listeners:
         x.did_run(result)
     return result

@@ -11,11 +11,12 @@ from weftline.functions.terms import line
 from weftline.model import Application, Component, Group
 
 from . import pipelines as P
+from .checkpoint import filter_state
 from .explore import Result
 
 
-def _csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, quote='"', escape="\\")
+def _csv(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).csv(path, header=True, quoteAll=True, quote='"', escape="\\")
 
 
 def export_samples(result: Result, path: str) -> None:
@@ -25,22 +26,33 @@ def export_samples(result: Result, path: str) -> None:
 
 
 def export_run(result: Result, applications: list[Application], components: list[Component], datasets: DataFrame, output: str, groups: list[Group] | None = None) -> None:
-    """pipelines.json, nodes.json, gephi-edges.csv, gephi-vertices.csv, statistics.json and node-data-samples below ``output``, as Spark's folders of files."""
-    nodes = result.nodes
-    order = ["run_id", "seq"]
-    P.pipeline_json(nodes, components, datasets).sort("run_id", "seq", "application_idx").select("json").write.mode("overwrite").text(f"{output}/pipelines.json")
-    nodes.sort(*order).write.mode("overwrite").json(f"{output}/nodes.json")
-    _csv(P.edges(nodes).sort(*order).select("source", "target", "transformer"), f"{output}/gephi-edges.csv")
-    _csv(P.vertices(nodes, applications, groups).sort(*order).drop("seq", "run_id"), f"{output}/gephi-vertices.csv")
+    """pipelines.json, nodes.json, gephi-edges.csv, gephi-vertices.csv, statistics.json, filter.json and node-data-samples below ``output``.
+
+    Each is a folder with one folder ``run_id=...`` for each dataset's run, as node ids repeat from run to run.
+    """
+    nodes, order = result.nodes, ["run_id", "seq"]
+    P.pipeline_json(nodes, components, datasets).sort("run_id", "seq", "application_idx").select("run_id", "json").write.mode("overwrite").partitionBy("run_id").text(f"{output}/pipelines.json")
+    nodes.sort(*order).write.mode("overwrite").partitionBy("run_id").json(f"{output}/nodes.json")
+    _csv(P.edges(nodes).sort(*order).select("run_id", "source", "target", "transformer"), f"{output}/gephi-edges.csv", "run_id")
+    _csv(P.vertices(nodes, applications, groups).sort(*order).drop("seq"), f"{output}/gephi-vertices.csv", "run_id")
     export_statistics(result, f"{output}/statistics.json")
+    filter_state(nodes).write.mode("overwrite").partitionBy("run_id").json(f"{output}/filter.json")
     export_samples(result, f"{output}/node-data-samples")
 
 
+def shared_time(nodes: DataFrame, levels: list[tuple[int, int, int]]) -> DataFrame:
+    """run_id, level, duration: the milliseconds of each level, which all runs go through together, dealt to the runs by their nodes in it."""
+    times = nodes.sparkSession.createDataFrame([(n, ms) for n, _, ms in levels] or [(-1, 0)], "level int, ms long")
+    mine = nodes.where("expanded").groupBy("run_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    every = mine.groupBy("level").agg(F.sum("n").alias("every"))
+    rows = mine.join(F.broadcast(times), "level").join(every, "level")  # a row for each level
+    return rows.select("run_id", "level", F.floor(F.col("ms") * F.col("n") / F.col("every")).cast("long").alias("duration"))
+
+
 def statistics_rows(result: Result) -> DataFrame:
     """Levels with their durations."""
-    spark = result.nodes.sparkSession
-    times = spark.createDataFrame([(n, ms) for n, _, ms in result.levels] or [(-1, 0)], "level int, duration long")
-    return P.level_statistics(result.nodes).join(F.broadcast(times), "level", "left").na.fill(0, ["duration"])  # a row for each level
+    times = shared_time(result.nodes, result.levels)
+    return P.level_statistics(result.nodes).join(times, ["run_id", "level"], "left").na.fill(0, ["duration"])
 
 
 def export_statistics(result: Result, path: str) -> None:

@@ -6,7 +6,7 @@ import itertools
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import terms as t
@@ -76,10 +76,16 @@ def _o():
     return t.ntriples(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
 
 
+def _total(h: str) -> Column:
+    """The sum of md5 hashes, in two parts of 60 bits, as text: the same in any order, and added up before a shuffle."""
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.concat_ws("|", part(1), part(16), F.count(F.lit(1)).cast("string"))
+
+
 def ground_fingerprints(triples: DataFrame, by: list[str] = ["graph_id"]) -> DataFrame:  # noqa: B006
-    """graph_id, fp, n: equal for equal sets of triples. Triples are hashed before they are gathered."""
+    """graph_id, fp, n: equal for equal sets of triples."""
     one = triples.select(*by, F.md5(_encoded(_s(), _o())).alias("h")).distinct()
-    return one.groupBy(*by).agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("fp"), F.count(F.lit(1)).alias("n"))
+    return one.groupBy(*by).agg(F.md5(_total("h")).alias("fp"), F.count(F.lit(1)).alias("n"))
 
 
 def coloured(triples: DataFrame, rounds: int = 4) -> DataFrame:
@@ -93,7 +99,7 @@ def coloured(triples: DataFrame, rounds: int = 4) -> DataFrame:
         keyed_ = _with_colours(rows, colours)
         out = keyed_.where(F.col("s_kind") == BNODE).select("graph_id", F.col("s").alias("node"), F.concat_ws(" ", F.lit(">"), "p", "o_key").alias("x"))
         into = keyed_.where(F.col("o_kind") == BNODE).select("graph_id", F.col("o").alias("node"), F.concat_ws(" ", F.lit("<"), "p", "s_key").alias("x"))
-        seen = out.unionByName(into).groupBy("graph_id", "node").agg(F.array_join(F.sort_array(F.collect_list(F.md5("x"))), "").alias("x"))
+        seen = out.unionByName(into).withColumn("h", F.md5("x")).groupBy("graph_id", "node").agg(_total("h").alias("x"))
         # each round reads the colours three times, so an uncut plan would grow threefold with it
         colours = cut(colours.join(seen, ["graph_id", "node"]).select("graph_id", "node", F.md5(F.concat_ws("|", "colour", "x")).alias("colour")))
     return _with_colours(rows, colours)
@@ -116,7 +122,7 @@ def fingerprints(triples: DataFrame, blank: bool = True, rounds: int = 4) -> Dat
 
 def _of_keys(keyed: DataFrame) -> DataFrame:
     rows = keyed.select("graph_id", F.md5(_encoded(F.col("s_key"), F.col("o_key"))).alias("h"))
-    return rows.groupBy("graph_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("fp"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("graph_id").agg(F.md5(_total("h")).alias("fp"), F.count(F.lit(1)).alias("n"))
 
 
 def _match(a: list[tuple], b: list[tuple]) -> bool:

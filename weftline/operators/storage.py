@@ -1,104 +1,113 @@
 """Where intermediate and finished tables live, and how lineage is cut between levels.
 
-The shared folder is ``spark.checkpoint.dir``; where that is unset, the warehouse on a cluster, and a
-temporary folder on a local master.
+The shared folder is ``spark.checkpoint.dir``, else the warehouse. What is written there for a run goes with the
+application.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, tempfile.TemporaryDirectory] = {}
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = held = tempfile.TemporaryDirectory(prefix="weftline-levels-")
-        atexit.register(held.cleanup)
-    return f"file://{_own[sc.applicationId].name}"
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
+
+
+def _system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one, deleted at its end."""
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = f"{shared_folder(spark)}/weftline/{key}-{uuid.uuid4().hex}"
+        at, system = _system(spark, _own[key])
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return _own[key]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, so that neither a long lineage nor a lost executor recomputes them."""
-    path = f"{shared_folder(df.sparkSession)}/weftline/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, system = _system(spark, path)
+    system.delete(at, True)
+
+
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Puts the folder ``new`` in the place of ``old``."""
+    delete(spark, old)
+    at, system = _system(spark, new)
+    if not system.rename(at, _system(spark, old)[0]):
+        raise OSError(f"can't rename {new} to {old}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    at, system = _system(spark, path)
+    return system.exists(at)
 
 
 class SampleStore:
     """Graphs by (grp, graph_id), grp being ROOT, FILTER or NODE; a store decides how Spark holds them.
 
-    memory, disk and memory-disk are storage levels of one cached frame; Spark's memory manager moves
-    blocks between the tiers, so no thresholds are needed. files keeps parquet partitioned by group.
+    Every entry is written to the shared folder. files reads it from there each time; memory, disk and memory-disk
+    also keep its blocks at that storage level. Spark's memory manager moves blocks between the tiers, so no
+    thresholds are needed, and a lost block is read again.
     """
 
-    LEVELS = {"memory": StorageLevel.MEMORY_ONLY, "disk": StorageLevel.DISK_ONLY, "memory-disk": StorageLevel.MEMORY_AND_DISK}
+    LEVELS = {"memory": StorageLevel.MEMORY_ONLY, "disk": StorageLevel.DISK_ONLY, "memory-disk": StorageLevel.MEMORY_AND_DISK, "files": None}
 
-    def __init__(self, spark: SparkSession, kind: str = "memory-disk", path: str | None = None):
-        if kind not in (*self.LEVELS, "files"):
+    def __init__(self, spark: SparkSession, kind: str = "files"):
+        if kind not in self.LEVELS:
             raise ValueError(f"unknown store {kind!r}")
         self.spark, self.kind = spark, kind
-        self.path = path or f"{shared_folder(spark)}/weftline/store-{uuid.uuid4().hex}"
-        self.frames: list[DataFrame] = []
+        self.frames: list[tuple[str, DataFrame]] = []
 
-    def add(self, triples: DataFrame, group: str) -> None:
-        rows = triples.withColumn("grp", F.lit(group))
-        if self.kind == "files":
-            rows.write.mode("append").partitionBy("grp").parquet(self.path)
-        else:
-            self.frames.append(cut(rows).persist(self.LEVELS[self.kind]))
+    def add(self, triples: DataFrame, group: str) -> DataFrame:
+        """The same triples, as they are held."""
+        level = self.LEVELS[self.kind]
+        held = cut(triples)
+        if level is not None:
+            held = held.persist(level)
+        self.frames.append((group, held))
+        return held
 
     def all(self) -> DataFrame:
         """grp, graph_id and the triples of all entries."""
-        if self.kind == "files":
-            return self.spark.read.parquet(self.path)
-        out = self.frames[0]
-        for f in self.frames[1:]:
-            out = out.unionByName(f)
-        return out
+        out = [f.withColumn("grp", F.lit(group)) for group, f in self.frames]
+        if not out:
+            raise ValueError("the store is empty")
+        rows = out[0]
+        for f in out[1:]:
+            rows = rows.unionByName(f)
+        return rows
 
     def load(self, graph_id: str) -> DataFrame:
         return self.all().where(F.col("graph_id") == graph_id).drop("grp")
 
     def sizes(self) -> DataFrame:
-        """graph_id, n: statements stored."""
+        """grp, graph_id, n: statements stored."""
         return self.all().groupBy("grp", "graph_id").agg(F.count(F.lit(1)).alias("n"))
 
     def remove_all(self, group: str | None = None) -> None:
-        if self.kind == "files":
-            if group is None:
-                delete(self.spark, self.path)
-            elif exists(self.spark, f"{self.path}/grp={group}"):
-                delete(self.spark, f"{self.path}/grp={group}")
-            return
-        kept = []
-        for f in self.frames:
-            if group is None or f.where(F.col("grp") == group).limit(1).count():
+        for name, f in self.frames:
+            if group in (None, name):
                 f.unpersist()
-            else:
-                kept.append(f)
-        self.frames = kept
+        self.frames = [x for x in self.frames if group not in (None, x[0])]
 
 
 def dictionary_encode(triples: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ PATH_ROUNDS = 64
 
 @dataclass
 class Value:
-    """A compiled expression: ``kind`` is term, bool, num (double) or int (long)."""
+    """A compiled expression: ``kind`` is term, bool, int (a whole number), dec (decimal) or num (double)."""
 
     kind: str
     col: Column
@@ -64,14 +65,21 @@ def as_term(v: Value) -> Column:
         return t.literal(v.col.cast("string"), XSD_BOOLEAN)
     if v.kind == "int":
         return t.literal(v.col.cast("string"), XSD_INTEGER)
-    return t.literal(F.regexp_replace(v.col.cast("string"), r"\.0$", ""), F.when(v.col == F.floor(v.col), XSD_DECIMAL).otherwise(XSD_DECIMAL))
+    if v.kind == "dec":
+        return t.literal(_decimal_text(v.col), XSD_DECIMAL)
+    return t.literal(v.col.cast("string"), XSD_DOUBLE)
+
+
+def _decimal_text(c: Column) -> Column:
+    """Without trailing zeros."""
+    return F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def as_bool(v: Value) -> Column:
     """The effective boolean value; null is an error."""
     if v.kind == "bool":
         return v.col
-    if v.kind in ("num", "int"):
+    if v.kind in ("num", "int", "dec"):
         return v.col != 0
     c = v.col
     return (
@@ -83,12 +91,45 @@ def as_bool(v: Value) -> Column:
     )
 
 
-def as_number(v: Value) -> Column:
-    if v.kind in ("num", "int"):
-        return v.col.cast("double")
+#: Whole numbers; decimals; and narrower decimals, whose products and quotients keep their digits.
+WHOLE, EXACT, NARROW = "decimal(38,0)", "decimal(38,18)", "decimal(19,9)"
+_INEXACT = (XSD_DOUBLE, XSD + "float")
+_WHOLE_TYPES = [x for x in NUMERIC if x not in (XSD_DECIMAL, *_INEXACT)]
+
+
+@dataclass
+class Number:
+    """A number by its datatype: whole for integers, exact for them and decimals, double for all; null where it isn't one."""
+
+    whole: Column
+    exact: Column
+    double: Column
+
+
+def as_numbers(v: Value) -> Number:
+    none = lambda kind: F.lit(None).cast(kind)
     if v.kind == "bool":
-        return F.lit(None).cast("double")
-    return F.when((v.col.kind == LITERAL) & v.col.dt.isin(NUMERIC), v.col.lex.try_cast("double"))
+        return Number(none(WHOLE), none(EXACT), none("double"))
+    if v.kind == "num":
+        return Number(none(WHOLE), none(EXACT), v.col.cast("double"))
+    if v.kind == "dec":
+        return Number(none(WHOLE), v.col.try_cast(EXACT), v.col.cast("double"))
+    if v.kind == "int":
+        return Number(v.col.try_cast(WHOLE), v.col.try_cast(EXACT), v.col.cast("double"))
+    c = v.col
+    of = lambda kinds, kind: F.when((c.kind == LITERAL) & c.dt.isin(list(kinds)), c.lex.try_cast(kind))
+    return Number(of(_WHOLE_TYPES, WHOLE), of([*_WHOLE_TYPES, XSD_DECIMAL], EXACT), of(NUMERIC, "double"))
+
+
+def as_number(v: Value) -> Column:
+    return as_numbers(v).double
+
+
+def _of_type(whole: Column | None, exact: Column, double: Column) -> Value:
+    """The term of the narrowest type that has a value."""
+    found = [] if whole is None else [F.when(whole.isNotNull(), t.term(LITERAL, whole.cast("string"), XSD_INTEGER))]
+    found += [F.when(exact.isNotNull(), t.term(LITERAL, _decimal_text(exact), XSD_DECIMAL)), F.when(double.isNotNull(), t.term(LITERAL, double.cast("string"), XSD_DOUBLE))]
+    return Value("term", F.coalesce(*found))
 
 
 def as_text(v: Value) -> Column:
@@ -97,36 +138,41 @@ def as_text(v: Value) -> Column:
     return F.when((c.kind == LITERAL) & ((c.dt == "") | (c.dt == XSD_STRING)), c.lex)
 
 
-def _whole(v: Value) -> Column:
-    if v.kind == "int":
-        return F.lit(True)
-    return v.col.dt.isin([x for x in NUMERIC if x not in (XSD_DECIMAL, XSD_DOUBLE, XSD + "float")]) if v.kind == "term" else F.lit(False)
-
-
 def _compare(op: str, a: Value, b: Value) -> Column:
     if a.kind == b.kind == "bool":
         pairs = (a.col, b.col)
         return {"=": pairs[0] == pairs[1], "!=": pairs[0] != pairs[1], "<": pairs[0] < pairs[1], ">": pairs[0] > pairs[1], "<=": pairs[0] <= pairs[1], ">=": pairs[0] >= pairs[1]}[op]
     x, y = as_term(a), as_term(b)
-    nx, ny = as_number(a), as_number(b)
-    both = nx.isNotNull() & ny.isNotNull()
+    nx, ny = as_numbers(a), as_numbers(b)
+    both = nx.double.isNotNull() & ny.double.isNotNull()
+    exact = nx.exact.isNotNull() & ny.exact.isNotNull()
     sign = {"<": lambda m, n: m < n, ">": lambda m, n: m > n, "<=": lambda m, n: m <= n, ">=": lambda m, n: m >= n, "=": lambda m, n: m == n, "!=": lambda m, n: m != n}[op]
     unbound = x.isNull() | y.isNull()
+    first = F.when(unbound, F.lit(None)).when(exact, sign(nx.exact, ny.exact)).when(both, sign(nx.double, ny.double))
     if op in ("=", "!="):
-        return F.when(unbound, F.lit(None)).when(both, sign(nx, ny)).otherwise(sign(x, y)).cast("boolean")
+        return first.otherwise(sign(x, y)).cast("boolean")
     plain = (x.kind == LITERAL) & (y.kind == LITERAL) & (x.dt == y.dt) & ~x.dt.isin(NUMERIC)
-    return F.when(unbound, F.lit(None)).when(both, sign(nx, ny)).when(plain, sign(x.lex, y.lex)).cast("boolean")
+    return first.when(plain, sign(x.lex, y.lex)).cast("boolean")
 
 
 def _arithmetic(op: str, a: Value, b: Value) -> Value:
-    x, y = as_number(a), as_number(b)
-    made = {"+": x + y, "-": x - y, "*": x * y, "/": F.when(y != 0, x / y)}[op]
-    if op == "/":
-        return Value("num", made)
-    whole = _whole(a) & _whole(b)
-    text = F.when(whole, made.cast("long").cast("string")).otherwise(F.regexp_replace(made.cast("string"), r"\.0$", ""))
-    dt = F.when(whole, XSD_INTEGER).otherwise(XSD_DECIMAL)
-    return Value("term", F.when(made.isNotNull(), t.term(LITERAL, text, dt)))
+    x, y = as_numbers(a), as_numbers(b)
+    act = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+    exact = act(x.exact, y.exact)
+    if op in "*/":
+        m, n = x.exact.try_cast(NARROW), y.exact.try_cast(NARROW)
+        exact = F.coalesce(F.when((m == x.exact) & (n == y.exact), act(m, n)), exact)
+    both = x.exact.isNotNull() & y.exact.isNotNull()
+    double = act(x.double, y.double)
+    if op == "/":  # a quotient of exact numbers by zero is an error
+        return _of_type(None, exact, F.when(~both | (y.double != 0), double))
+    return _of_type(act(x.whole, y.whole), exact, double)
+
+
+def _rounded(v: Value, act: Callable[[Column], Column]) -> Value:
+    """A function that keeps the number's type."""
+    x = as_numbers(v)
+    return _of_type(x.whole if act is not F.abs else F.abs(x.whole), act(x.exact), F.when(x.exact.isNull(), act(x.double).cast("double")))
 
 
 def _like(source: Value, text: Column) -> Value:
@@ -135,8 +181,23 @@ def _like(source: Value, text: Column) -> Value:
     return Value("term", F.when(text.isNotNull(), t.term(LITERAL, text, "", F.coalesce(c.lang, F.lit("")))))
 
 
-def _time(v: Value) -> Column:
-    return F.try_to_timestamp(F.when(as_term(v).kind == LITERAL, as_term(v).lex))
+#: Year, month, day, hours, minutes, seconds and zone of a date or time of day.
+_MOMENT = r"^(-?\d{4,})-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):(\d\d(?:\.\d+)?))?(Z|[+-]\d\d:\d\d)?$"
+
+
+def _part(v: Value, i: int) -> Column:
+    """A part of a moment as it is written, whatever the session's zone; null for what is no moment."""
+    c = as_term(v)
+    lex = F.when((c.kind == LITERAL) & c.lex.rlike(_MOMENT) & F.try_to_timestamp(F.substring(c.lex, 1, 10)).isNotNull(), c.lex)
+    return F.regexp_extract(lex, _MOMENT, i)
+
+
+def _zone(v: Value) -> Column:
+    """A moment's zone as a duration; without one an error."""
+    z = _part(v, 7)
+    hours, minutes = F.substring(z, 2, 2).try_cast("int"), F.substring(z, 5, 2).try_cast("int")
+    said = F.concat(F.when(F.startswith(z, F.lit("-")), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(z == "Z", "PT0S").when(z != "", F.when((hours == 0) & (minutes == 0), "PT0S").otherwise(said))
 
 
 def _calls() -> dict[str, Callable[..., Value]]:
@@ -183,7 +244,7 @@ def _calls() -> dict[str, Callable[..., Value]]:
         c, dt = as_term(v), to.col.lex
         usable = F.when(c.kind == LITERAL, c.lex)
         fits = F.when(dt == XSD_STRING, F.lit(True)).when(dt == XSD_BOOLEAN, usable.isin("true", "false", "0", "1")).when(dt.isin(NUMERIC), usable.try_cast("double").isNotNull()).otherwise(F.lit(True))
-        text = F.when(dt == XSD_INTEGER, F.coalesce(usable.try_cast("double").cast("long").cast("string"), usable)).otherwise(F.when(dt == XSD_STRING, lex(v)).otherwise(usable))
+        text = F.when(dt == XSD_INTEGER, F.coalesce(usable.try_cast(WHOLE).cast("string"), F.floor(usable.try_cast("double")).cast("string"), usable)).otherwise(F.when(dt == XSD_STRING, lex(v)).otherwise(usable))
         return Value("term", F.when(fits & text.isNotNull(), t.term(LITERAL, text, F.when(dt == XSD_STRING, "").otherwise(dt))))
 
     return {
@@ -208,19 +269,20 @@ def _calls() -> dict[str, Callable[..., Value]]:
         "REGEX": regex,
         "ENCODE_FOR_URI": lambda v: lit_(F.replace(F.replace(F.url_encode(as_text(v)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))),
         "LANGMATCHES": lang_matches,
-        "ABS": lambda v: number(F.abs(as_number(v))),
-        "ROUND": lambda v: number(F.floor(as_number(v) + 0.5).cast("double")),
-        "CEIL": lambda v: number(F.ceil(as_number(v)).cast("double")),
-        "FLOOR": lambda v: number(F.floor(as_number(v)).cast("double")),
+        "ABS": lambda v: _rounded(v, F.abs),
+        "ROUND": lambda v: _rounded(v, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)"))),
+        "CEIL": lambda v: _rounded(v, F.ceil),
+        "FLOOR": lambda v: _rounded(v, F.floor),
         "RAND": lambda: number(F.rand()),
         "NOW": lambda: lit_(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), XSD_DATETIME),
-        "YEAR": lambda v: whole(F.year(_time(v)).cast("long")),
-        "MONTH": lambda v: whole(F.month(_time(v)).cast("long")),
-        "DAY": lambda v: whole(F.day(_time(v)).cast("long")),
-        "HOURS": lambda v: whole(F.hour(_time(v)).cast("long")),
-        "MINUTES": lambda v: whole(F.minute(_time(v)).cast("long")),
-        "SECONDS": lambda v: number(F.second(_time(v)).cast("double")),
-        "TZ": lambda v: lit_(F.when(_time(v).isNotNull(), F.regexp_extract(as_term(v).lex, r"(Z|[+-]\d\d:\d\d)$", 1))),
+        "YEAR": lambda v: whole(_part(v, 1).try_cast("long")),
+        "MONTH": lambda v: whole(_part(v, 2).try_cast("long")),
+        "DAY": lambda v: whole(_part(v, 3).try_cast("long")),
+        "HOURS": lambda v: whole(_part(v, 4).try_cast("long")),
+        "MINUTES": lambda v: whole(_part(v, 5).try_cast("long")),
+        "SECONDS": lambda v: Value("dec", _part(v, 6).try_cast(EXACT)),
+        "TZ": lambda v: lit_(_part(v, 7)),
+        "TIMEZONE": lambda v: lit_(_zone(v), XSD + "dayTimeDuration"),
         "MD5": lambda v: lit_(F.md5(as_text(v))),
         "SHA1": lambda v: lit_(F.sha1(as_text(v))),
         "SHA256": lambda v: lit_(F.sha2(as_text(v), 256)),
@@ -247,7 +309,7 @@ class Compiler:
     """Compiles against one frame of triples that holds all graphs (graph_id; s_kind, s, p, o_kind, o, o_dt, o_lang)."""
 
     def __init__(self, triples: DataFrame, graphs: DataFrame | None = None):
-        self.triples = triples
+        self.triples, self.made = triples, count()
         self.graphs = graphs if graphs is not None else triples.select("graph_id").distinct()
 
     # ------------------------------------------------------------ expressions
@@ -257,12 +319,18 @@ class Compiler:
         if isinstance(e, q.Term):
             return Value("term", constant(e))
         if aggregates is not None and e in aggregates:
-            return Value("term", F.col(f"`{aggregates[e]}`"))
+            found = F.col(f"`{aggregates[e]}`")
+            return Value("bool", found) if e.name in ("EXISTS", "NOT EXISTS") else Value("term", found)
         args = e.args
         if e.name == "BOUND":
             return Value("bool", _ref(args[0].name).isNotNull() if args[0].name in names else F.lit(False))
         if e.name in ("EXISTS", "NOT EXISTS"):
-            raise q.SparqlError("EXISTS is supported as a filter of its own or in a conjunction")
+            raise q.SparqlError("EXISTS is supported in filters only")
+        if e.name == "BNODE":
+            # one for each solution, and for each text in it; told by what is bound, so a lost task makes the same again
+            key = F.to_json(F.struct("graph_id", *[_ref(n) for n in sorted(names)]))
+            text = as_text(self.expr(args[0], names, aggregates)) if args else F.lit(f"#{next(self.made)}")
+            return Value("term", F.when(text.isNotNull(), t.term(BNODE, F.concat(F.lit("n"), F.md5(F.concat_ws("|", key, text))))))
         v = [self.expr(a, names, aggregates) for a in args]
         if e.name in ("||", "&&"):
             a, b = as_bool(v[0]), as_bool(v[1])
@@ -287,6 +355,8 @@ class Compiler:
     def pattern(self, s: q.Node, p, o: q.Node) -> Solutions:
         rows = self.triples
         if isinstance(p, q.Path):
+            if p.op in ("plus", "star") and (isinstance(s, q.Term) or isinstance(o, q.Term)):
+                return self._ends(self.reached(p, s, o), s, o)
             if p.op != "link":
                 return self._ends(self.path(p), s, o)
             rows = rows.where(F.col("p") == p.parts[0])
@@ -315,6 +385,29 @@ class Compiler:
         named = [(n.name, c) for n, c in ((s, "x"), (o, "y")) if isinstance(n, q.Var)]
         return Solutions(pairs.select("graph_id", *[F.col(c).alias(col(n)) for n, c in named]), [n for n, _ in named], set())
 
+    def reached(self, p: q.Path, s: q.Node, o: q.Node) -> DataFrame:
+        """graph_id, x, y of an unbounded path from its bound end only, one step after the other with what the last one found."""
+        from weftline.operators.storage import cut
+
+        pairs = self.path(p.parts[0])
+        back = not isinstance(s, q.Term)
+        if back:
+            pairs = pairs.select("graph_id", F.col("y").alias("x"), F.col("x").alias("y"))
+        end = constant(o if back else s)
+        steps = cut(pairs.distinct())
+        start = self.graphs.select("graph_id").distinct().select("graph_id", end.alias("y"))
+        now = cut(start.join(steps.withColumnRenamed("y", "z"), (F.col("y") == F.col("x")) & (start["graph_id"] == steps["graph_id"])).select(start["graph_id"], F.col("z").alias("y")).distinct())
+        found = now
+        while now.limit(1).count():
+            step = steps.select(F.col("graph_id").alias("g"), "x", F.col("y").alias("z"))
+            more = now.join(step, (F.col("graph_id") == F.col("g")) & (F.col("y") == F.col("x"))).select("graph_id", F.col("z").alias("y")).distinct()
+            now = cut(more.join(found, ["graph_id", "y"], "left_anti"))
+            found = found.unionByName(now)  # written tables, one a step
+        if p.op == "star":
+            found = found.unionByName(start).distinct()
+        ends = found.select("graph_id", end.alias("x"), "y")
+        return ends.select("graph_id", F.col("y").alias("x"), F.col("x").alias("y")) if back else ends
+
     def path(self, p: q.Path) -> DataFrame:
         """graph_id, x, y: the ends that the path connects."""
         if p.op in ("link", "negated"):
@@ -340,31 +433,56 @@ class Compiler:
         return closed if p.op == "plus" else closed.unionByName(itself).distinct()
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner") -> Solutions:
-        """Joins compatible solutions."""
-        shared = [n for n in a.names if n in b.names]
-        renamed = b.rows.select(F.col("graph_id").alias("~g"), *[_ref(n).alias("~" + n) for n in b.names])
-        theirs = lambda n: F.col(f"`~{n}`")
-        condition = F.col("graph_id") == F.col("~g")
-        for n in shared:
-            same = _ref(n) == theirs(n)
-            if n in a.loose:
-                same = same | _ref(n).isNull()
-            if n in b.loose:
-                same = same | theirs(n).isNull()
-            condition &= same
-        joined = a.rows.join(renamed, condition, how)
+        """Joins compatible solutions. Where a shared variable may be unbound, rows with and without it are joined apart, so that all joins are equi-joins."""
+        split = next((n for n in a.names if n in b.names and (n in a.loose or n in b.loose)), None)
+        if split is None:
+            return self._joined(a, b, how)
+        parts = []
+        for x in self._halves(a, split):
+            for y in self._halves(b, split):
+                parts.append(self.join(x, y))
         names = a.names + [n for n in b.names if n not in a.names]
-        made = []
-        for n in names:
-            if n in shared and n in a.loose:
-                made.append(F.coalesce(_ref(n), theirs(n)).alias(col(n)))
-            else:
-                made.append(_ref(n) if n in a.names else theirs(n).alias(col(n)))
+        rows = reduce(DataFrame.unionByName, [p.rows.select("graph_id", *[(_ref(n) if n in p.names else F.lit(None).cast(TERM_DDL)).alias(col(n)) for n in names]) for p in parts])
         new = {n for n in b.names if n not in a.names}
         loose = {n for n in a.loose if n not in b.names or n in b.loose} | (b.loose & new)
         if how == "left":
+            alone = self._alone(a, b)
+            rows = rows.unionByName(alone.select("graph_id", *[(_ref(n) if n in a.names else F.lit(None).cast(TERM_DDL)).alias(col(n)) for n in names]))
             loose |= new | a.loose
-        return Solutions(joined.select("graph_id", *made), names, loose)
+        return Solutions(rows, names, loose)
+
+    def _halves(self, a: Solutions, n: str) -> list[Solutions]:
+        """a's rows where n is bound, and those where it isn't, which then have no such variable."""
+        if n not in a.loose:
+            return [a]
+        bound = Solutions(a.rows.where(_ref(n).isNotNull()), a.names, a.loose - {n})
+        rest = [x for x in a.names if x != n]
+        return [bound, Solutions(a.rows.where(_ref(n).isNull()).select("graph_id", *[_ref(x) for x in rest]), rest, a.loose - {n})]
+
+    def _alone(self, a: Solutions, b: Solutions) -> DataFrame:
+        """a's rows that are compatible with no row of b."""
+        split = next((n for n in a.names if n in b.names and (n in a.loose or n in b.loose)), None)
+        if split is None:
+            shared = [n for n in a.names if n in b.names]
+            return self._semi(a, b, shared, "left_anti", need=False).rows
+        out = []
+        for x in self._halves(a, split):
+            left = x
+            for y in self._halves(b, split):
+                left = Solutions(self._alone(left, y), x.names, x.loose)
+            out.append(left.rows.select("graph_id", *[(_ref(n) if n in x.names else F.lit(None).cast(TERM_DDL)).alias(col(n)) for n in a.names]))
+        return reduce(DataFrame.unionByName, out)
+
+    def _joined(self, a: Solutions, b: Solutions, how: str) -> Solutions:
+        shared = [n for n in a.names if n in b.names]
+        renamed = b.rows.select(F.col("graph_id").alias("~g"), *[_ref(n).alias("~" + n) for n in b.names])
+        condition = F.col("graph_id") == F.col("~g")
+        for n in shared:
+            condition &= _ref(n) == F.col(f"`~{n}`")
+        new = [n for n in b.names if n not in a.names]
+        joined = a.rows.join(renamed, condition, how).select("graph_id", *[_ref(n) for n in a.names], *[F.col(f"`~{n}`").alias(col(n)) for n in new])
+        loose = a.loose | (b.loose & set(new))
+        return Solutions(joined, a.names + new, loose | set(new) if how == "left" else loose)
 
     def optional(self, a: Solutions, group: q.Group) -> Solutions:
         """A left join; the group's own filters belong to its condition, and see the variables of both sides."""
@@ -437,8 +555,27 @@ class Compiler:
             how = "left_semi" if e.name == "EXISTS" else "left_anti"
             b = self.group(e.args[0])
             return self._semi(a, b, [n for n in a.names if n in b.names], how, need=False)
+        if _has_exists(e):
+            return self._filter_with_exists(a, e)
         return Solutions(a.rows.where(as_bool(self.expr(e, set(a.names)))), a.names, a.loose)
 
+    def _filter_with_exists(self, a: Solutions, e: q.Expr) -> Solutions:
+        """A filter with EXISTS somewhere inside: each becomes a column first."""
+        held: dict[q.Call, str] = {}
+        rows = a.rows
+        for i, call in enumerate(_exists_calls(e)):
+            b = self.group(call.args[0])
+            hit = self._semi(Solutions(a.rows.distinct(), a.names, a.loose), b, [n for n in a.names if n in b.names], "left_semi", need=False)
+            marked = hit.rows.select(F.col("graph_id").alias("~g"), *[_ref(n).alias("~" + n) for n in a.names], F.lit(True).alias("~hit"))
+            same = F.col("graph_id") == F.col("~g")
+            for n in a.names:
+                same &= _ref(n).eqNullSafe(F.col(f"`~{n}`"))
+            there = F.col("~hit").isNotNull()
+            rows = rows.join(marked, same, "left").withColumn(f"~exists{i}", there if call.name == "EXISTS" else ~there).drop("~g", "~hit", *["~" + n for n in a.names])
+            held[call] = f"~exists{i}"
+        kept = rows.where(as_bool(self.expr(e, set(a.names), held)))
+        return Solutions(kept.select("graph_id", *[_ref(n) for n in a.names]), a.names, a.loose)
+
     def values(self, part: q.Values) -> Solutions:
         spark = self.triples.sparkSession
         rows = [tuple((None if x is None else (x.kind, x.lex, "" if x.dt == XSD_STRING else x.dt, x.lang)) for x in row) for row in part.rows]
@@ -463,6 +600,13 @@ class Compiler:
                     now = add(self.pattern(s, p, o))
             elif isinstance(part, q.Group):
                 now = add(self.group(part))
+            elif isinstance(part, q.Named):  # there are no named graphs, so nothing matches
+                inside = self.group(part.group)
+                named = [part.name.name] if isinstance(part.name, q.Var) and part.name.name not in inside.names else []
+                rows = inside.rows.where(F.lit(False))
+                for n in named:
+                    rows = rows.withColumn(col(n), F.lit(None).cast(TERM_DDL))
+                now = add(Solutions(rows, [*inside.names, *named], inside.loose))
             elif isinstance(part, q.Union_):
                 now = add(self.union(part.groups))
             elif isinstance(part, q.Values):
@@ -504,12 +648,17 @@ class Compiler:
                     names.append(name)
                 keys.append(name)
             held = {c: f"~agg{i}" for i, c in enumerate(dict.fromkeys(calls))}
-            made = [self._aggregate(c, set(names)).alias(n) for c, n in held.items()] or [F.count(F.lit(1)).alias("~n")]
+            for i, c in enumerate(held):  # what is added up or compared, as columns of their own
+                if c.name in ("SUM", "AVG", "MIN", "MAX"):
+                    v = self.expr(c.args[0], set(names))
+                    x = as_numbers(v)
+                    rows = rows.withColumns({f"~w{i}": x.whole, f"~e{i}": x.exact, f"~d{i}": x.double, f"~v{i}": as_term(v)})
+            made = [self._aggregate(c, set(names), i).alias(n) for i, (c, n) in enumerate(held.items())] or [F.count(F.lit(1)).alias("~n")]
             grouped = rows.groupBy("graph_id", *[_ref(k) for k in keys]).agg(*made)
             if not keys:  # an empty group still has one result
                 grouped = self.graphs.select("graph_id").join(grouped, "graph_id", "left")
                 for c, n in held.items():
-                    if c.name in ("COUNT", "SUM"):
+                    if c.name in ("COUNT", "SUM", "AVG"):
                         zero = t.term(LITERAL, "0", XSD_INTEGER)
                         grouped = grouped.withColumn(n, F.coalesce(F.col(f"`{n}`"), zero))
             rows, names = grouped, keys
@@ -528,20 +677,23 @@ class Compiler:
         order = []
         for i, (e, up) in enumerate(query.order):
             v = self.expr(e, set(names), held)
-            rows = rows.withColumn(f"~n{i}", as_number(v)).withColumn(f"~t{i}", as_term(v))
-            order += [F.col(f"`~{k}{i}`").asc_nulls_first() if up else F.col(f"`~{k}{i}`").desc_nulls_last() for k in "nt"]
+            x = as_numbers(v)
+            rows = rows.withColumn(f"~n{i}", x.double).withColumn(f"~e{i}", x.exact).withColumn(f"~t{i}", as_term(v))
+            order += [F.col(f"`~{k}{i}`").asc_nulls_first() if up else F.col(f"`~{k}{i}`").desc_nulls_last() for k in "net"]
         keep = list(dict.fromkeys(n for _, n in items))
         if query.limit is not None or query.offset:
             from pyspark.sql import Window
 
             if query.distinct:
-                extra = [f"~{k}{i}" for i in range(len(query.order)) for k in "nt"]
+                extra = [f"~{k}{i}" for i in range(len(query.order)) for k in "net"]
                 rows = rows.dropDuplicates(["graph_id", *[col(n) for n in keep]]).select("graph_id", *[_ref(n) for n in keep], *[F.col(f"`{x}`") for x in extra])
             # limits hold for each graph; ties are settled by the terms, so that reruns agree
             w = Window.partitionBy("graph_id").orderBy(*order, *[_ref(n) for n in keep])
-            rows = rows.withColumn("~rn", F.row_number().over(w)).where(F.col("`~rn`") > query.offset)
+            # an upper bound alone lets Spark drop rows before the shuffle
+            rows = rows.withColumn("~rn", F.row_number().over(w))
             if query.limit is not None:
                 rows = rows.where(F.col("`~rn`") <= query.offset + query.limit)
+            rows = rows.where(F.col("`~rn`") > query.offset)
             rows = rows.select("graph_id", *[_ref(n) for n in keep])
         else:
             if order:
@@ -551,7 +703,7 @@ class Compiler:
                 rows = rows.distinct()
         return Solutions(rows, keep, loose & set(keep))
 
-    def _aggregate(self, c: q.Call, names: set[str]) -> Column:
+    def _aggregate(self, c: q.Call, names: set[str], i: int) -> Column:
         if c.name == "COUNT":
             if not c.args:
                 n = F.countDistinct(F.struct(*[_ref(x) for x in sorted(names)])) if c.distinct else F.count(F.lit(1))
@@ -565,17 +717,21 @@ class Compiler:
         if c.name == "GROUP_CONCAT":
             texts = F.collect_set(as_term(v).lex) if c.distinct else F.collect_list(as_term(v).lex)
             return t.term(LITERAL, F.array_join(F.sort_array(texts), c.separator))
-        number, whole = as_number(v), _whole(v)
+        x = Number(*[F.col(f"`~{k}{i}`") for k in "wed"])
         if c.name in ("MIN", "MAX"):
             pick = F.min if c.name == "MIN" else F.max
-            return pick(F.struct(number.alias("n"), as_term(v).alias("t"))).getField("t")
-        total = F.sum_distinct(number) if c.distinct else F.sum(number)
-        if c.name == "AVG":
-            total = total / (F.countDistinct(number) if c.distinct else F.count(number))
-            return F.when(total.isNotNull(), t.term(LITERAL, F.regexp_replace(total.cast("string"), r"\.0$", ""), XSD_DECIMAL))
-        all_whole = F.min(whole.cast("int")) == 1
-        text = F.when(all_whole, total.cast("long").cast("string")).otherwise(F.regexp_replace(total.cast("string"), r"\.0$", ""))
-        return F.when(total.isNotNull(), t.term(LITERAL, text, F.when(all_whole, XSD_INTEGER).otherwise(XSD_DECIMAL)))
+            return pick(F.struct(x.double.alias("n"), x.exact.alias("e"), F.col(f"`~v{i}`").alias("t"))).getField("t")
+        if c.name == "SUM":
+            add = F.sum_distinct if c.distinct else F.try_sum
+            whole, exact, double = add(x.whole), add(x.exact), (F.sum_distinct if c.distinct else F.sum)(x.double)
+        else:
+            n = F.count_distinct if c.distinct else F.count
+            mean = lambda y, kind: F.try_divide(F.sum_distinct(y).try_cast(kind), n(y))
+            whole, exact, double = None, mean(x.exact, "decimal(28,9)") if c.distinct else F.try_avg(x.exact), mean(x.double, "double") if c.distinct else F.avg(x.double)
+        # one value that isn't whole makes the total decimal, one that isn't exact makes it double
+        number = F.count(x.double)
+        whole = None if whole is None else F.when(F.count(x.whole) == number, whole)
+        return _of_type(whole, F.when(F.count(x.exact) == number, exact), double).col
 
     def construct(self, query: q.Construct) -> DataFrame:
         return self.instantiate(self.group(query.where), query.template, "c").distinct()
@@ -610,6 +766,12 @@ def _aggregates(e) -> list[q.Call]:
     return []
 
 
+def _exists_calls(e) -> list[q.Call]:
+    if not isinstance(e, q.Call):
+        return []
+    return [e] if e.name in ("EXISTS", "NOT EXISTS") else [c for a in e.args for c in _exists_calls(a)]
+
+
 def _has_exists(e) -> bool:
     return isinstance(e, q.Call) and (e.name in ("EXISTS", "NOT EXISTS") or any(_has_exists(a) for a in e.args))
 

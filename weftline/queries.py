@@ -15,6 +15,7 @@ from weftline.functions import terms as t
 from weftline.model import Group, Settings, application, transformer
 from weftline.operators import explore as E
 from weftline.operators import graphs as G
+from weftline.operators import lookups as L
 from weftline.operators import pipelines as P
 from weftline.operators import rollups as R
 from weftline.operators.storage import cut, dictionary_encode
@@ -64,15 +65,13 @@ def triples_scan(spark, sf_dir):
 
 @query("find_by_class", "SELECT DISTINCT 'urn:nation:' || CAST(n_nationkey AS VARCHAR) AS s FROM nation")
 def find_by_class(spark, sf_dir):
-    rows = load_triples(spark, sf_dir, _THREE)
-    return rows.where((F.col("p") == t.RDF_TYPE) & (F.col("o") == "urn:table:nation")).select("s").distinct()
+    return L.by_class(load_triples(spark, sf_dir, _THREE), "urn:table:nation").select("s")
 
 
 @query("find_one_by_class", "SELECT 'urn:supplier:' || CAST(s_suppkey AS VARCHAR) AS graph_id, 'urn:supplier:' || CAST(s_suppkey AS VARCHAR) AS s FROM supplier")
 def find_one_by_class(spark, sf_dir):
     rows = load_triples(spark, sf_dir, ["supplier"], {"supplier": subject_of("supplier", F.col("s_suppkey"))})
-    found = rows.where((F.col("p") == t.RDF_TYPE) & (F.col("o") == "urn:table:supplier")).groupBy("graph_id").agg(F.count_distinct("s").alias("n"), F.min("s").alias("s"))
-    return found.select("graph_id", F.when(F.col("n") == 1, F.col("s")).otherwise(F.raise_error(F.lit("expected one subject of the class"))).alias("s"))
+    return L.one_by_class(rows, "urn:table:supplier")
 
 
 @query("ntriples_roundtrip", triples_sql(_THREE))
@@ -112,8 +111,7 @@ def ask_all_descriptors(spark, sf_dir):
 _selected("bgp_star", ["customer"], "SELECT ?c ?name ?segment ?nation { ?c c:c_name ?name ; c:c_mktsegment ?segment ; c:c_nationkey ?nation }", "SELECT 'urn:customer:' || CAST(c_custkey AS VARCHAR) AS c, c_name AS name, c_mktsegment AS segment, 'urn:nation:' || CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
 _selected("bgp_path", _THREE, "SELECT ?supplier ?nation ?region { ?s c:s_name ?supplier ; c:s_nationkey ?n . ?n c:n_name ?nation ; c:n_regionkey ?r . ?r c:r_name ?region }", "SELECT s_name AS supplier, n_name AS nation, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 _D = "'urn:documents:' || CAST(doc_id AS VARCHAR)"
-_HEAD = "substring(text, 1, 24)"
-_selected("optional_filter_lang", ["documents"], 'SELECT ?d ?source ?head { ?d c:source ?source OPTIONAL { ?d c:head ?head FILTER(LANG(?head) = "en") } }', f"SELECT {_D} AS d, source, CASE WHEN lang = 'en' THEN {_HEAD} END AS head FROM documents WHERE source IS NOT NULL")
+_selected("optional_filter_lang", ["documents"], 'SELECT ?d ?source ?text { ?d c:source ?source OPTIONAL { ?d c:text ?text FILTER(LANG(?text) = "en") } }', f"SELECT {_D} AS d, source, CASE WHEN lang = 'en' THEN text END AS text FROM documents WHERE source IS NOT NULL")
 _selected("bind_iri_concat", ["nation"], 'SELECT ?n ?geo { ?n c:n_name ?name BIND(IRI(CONCAT(STR(?n), "/geo/", LCASE(?name))) AS ?geo) }', "SELECT 'urn:nation:' || CAST(n_nationkey AS VARCHAR) AS n, 'urn:nation:' || CAST(n_nationkey AS VARCHAR) || '/geo/' || lower(n_name) AS geo FROM nation")
 
 
@@ -140,6 +138,24 @@ _selected("path_closure", _THREE, "SELECT ?s ?x { ?s (c:s_nationkey|c:n_regionke
 _selected("string_functions", ["nation"], 'SELECT ?name ?len ?sub ?up ?before ?md ?enc { ?n c:n_name ?name BIND(STRLEN(?name) AS ?len) BIND(SUBSTR(?name, 2, 3) AS ?sub) BIND(UCASE(?name) AS ?up) BIND(STRBEFORE(?name, "A") AS ?before) BIND(MD5(?name) AS ?md) BIND(REPLACE(?name, "[AEIOU]", "-") AS ?enc) FILTER(STRSTARTS(?name, "N") || REGEX(?name, "a", "i")) }', "SELECT n_name AS name, CAST(length(n_name) AS VARCHAR) AS len, substring(n_name, 2, 3) AS sub, upper(n_name) AS up, CASE WHEN contains(n_name, 'A') THEN split_part(n_name, 'A', 1) ELSE '' END AS before, md5(n_name) AS md, regexp_replace(n_name, '[AEIOU]', '-', 'g') AS enc FROM nation WHERE starts_with(n_name, 'N') OR regexp_matches(n_name, 'a', 'i')")
 _selected("numeric_functions", ["part"], "SELECT ?p ?twice ?odd ?up { ?p c:p_size ?z BIND(?z * 2 + 1 AS ?twice) BIND(IF(?z > 25, \"big\", \"small\") AS ?odd) BIND(CEIL(?z / 10) AS ?up) FILTER(?z IN (1, 7, 30) || isNumeric(?z) && ?z >= 45) }", "SELECT 'urn:part:' || CAST(p_partkey AS VARCHAR) AS p, CAST(p_size * 2 + 1 AS VARCHAR) AS twice, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS odd, CAST(CAST(ceil(p_size / 10.0) AS BIGINT) AS VARCHAR) AS up FROM part WHERE p_size IN (1, 7, 30) OR p_size >= 45")
 
+# numbers by their type, moments as they are written, forms that need more than a join
+_STRIP = lambda x: f"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_BIG = "9007199254740993"
+_selected("sum_avg_max", ["supplier"], "SELECT ?n (SUM(?b) AS ?total) (FLOOR(AVG(?b) * 100) AS ?mean) (MAX(?b) AS ?most) (MIN(?b) AS ?least) { ?s c:s_nationkey ?n ; c:s_acctbal ?b } GROUP BY ?n", f"SELECT 'urn:nation:' || CAST(s_nationkey AS VARCHAR) AS n, {_STRIP(f'sum({_BAL})')} AS total, CAST(CAST(floor(CAST(sum(CAST({_BAL} * 100 AS BIGINT)) AS DOUBLE) / count(*)) AS BIGINT) AS VARCHAR) AS mean, CAST(max({_BAL}) AS VARCHAR) AS most, CAST(min({_BAL}) AS VARCHAR) AS least FROM supplier GROUP BY s_nationkey")
+_selected("big_whole_numbers", ["part"], f"SELECT ?brand (SUM(?big) AS ?total) (MAX(?big) AS ?most) {{ ?p c:p_brand ?brand ; c:p_size ?z BIND(?z * {_BIG} + 1 AS ?big) FILTER(?big > {_BIG}) }} GROUP BY ?brand", f"SELECT p_brand AS brand, CAST(sum(CAST(p_size AS HUGEINT) * {_BIG} + 1) AS VARCHAR) AS total, CAST(max(CAST(p_size AS HUGEINT) * {_BIG} + 1) AS VARCHAR) AS most FROM part WHERE p_size >= 1 GROUP BY p_brand")
+_selected("decimals", ["supplier"], "SELECT ?s ?more ?size ?near ?part { ?s c:s_acctbal ?b BIND(?b + 0.1 AS ?more) BIND(ABS(?b) AS ?size) BIND(ROUND(?b) AS ?near) BIND(?b * 0.125 AS ?part) }", f"SELECT {_S} AS s, {_STRIP(f'{_BAL} + 0.1')} AS more, {_STRIP(f'abs({_BAL})')} AS size, CAST(CAST(floor({_BAL} + 0.5) AS BIGINT) AS VARCHAR) AS near, {_STRIP(f'{_BAL} * 0.125')} AS part FROM supplier")
+_selected("moments", ["region"], 'SELECT ?r ?year ?hours ?minutes ?seconds ?tz ?zone { ?r c:r_name ?name BIND(SUBSTR(STR(STRLEN(?name)), 1, 1) AS ?k) BIND(STRDT(CONCAT("2011-01-10T14:45:13.500-0", ?k, ":30"), xsd:dateTime) AS ?t) BIND(YEAR(?t) AS ?year) BIND(HOURS(?t) AS ?hours) BIND(MINUTES(?t) AS ?minutes) BIND(SECONDS(?t) AS ?seconds) BIND(TZ(?t) AS ?tz) BIND(TIMEZONE(?t) AS ?zone) }', "SELECT 'urn:region:' || CAST(r_regionkey AS VARCHAR) AS r, '2011' AS year, '14' AS hours, '45' AS minutes, '13.5' AS seconds, '-0' || k || ':30' AS tz, '-PT' || k || 'H30M' AS zone FROM (SELECT *, left(CAST(length(r_name) AS VARCHAR), 1) AS k FROM region)")
+_selected("exists_in_disjunction", ["nation", "supplier"], 'SELECT ?n { ?n c:n_name ?name FILTER(EXISTS { ?s c:s_nationkey ?n ; c:s_acctbal ?b FILTER(?b > 9000) } || STRSTARTS(?name, "A")) }', f"SELECT {_NATION} AS n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE {_BAL} > 9000) OR starts_with(n_name, 'A')")
+_selected("minus_some", ["nation", "supplier"], "SELECT ?n { ?n c:n_name ?name MINUS { ?s c:s_nationkey ?n ; c:s_acctbal ?b FILTER(?b > 8000) } }", f"SELECT {_NATION} AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE {_BAL} > 8000)")
+_selected("named_graph", ["nation"], "SELECT ?n ?r { ?n c:n_name ?name OPTIONAL { GRAPH <urn:g> { ?n c:n_regionkey ?r } } }", f"SELECT {_NATION} AS n, CAST(NULL AS VARCHAR) AS r FROM nation")
+_selected("loose_join", ["nation", "supplier"], "SELECT ?n ?s ?b { ?n c:n_name ?name OPTIONAL { ?s c:s_nationkey ?n ; c:s_acctbal ?x FILTER(?x > 8000) } OPTIONAL { ?s c:s_acctbal ?b } FILTER(BOUND(?s)) FILTER(?b > 9000) }", f"SELECT {_NATION} AS n, {_S} AS s, CAST({_BAL} AS VARCHAR) AS b FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE {_BAL} > 9000 UNION ALL SELECT {_NATION}, {_S}, CAST({_BAL} AS VARCHAR) FROM nation CROSS JOIN supplier WHERE {_BAL} > 9000 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE {_BAL} > 8000)")
+_selected("path_optional", ["nation", "supplier"], "SELECT ?s ?x { ?s c:s_name ?name . ?s c:s_nationkey? ?x }", f"SELECT {_S} AS s, 'urn:nation:' || CAST(s_nationkey AS VARCHAR) AS x FROM supplier UNION ALL SELECT {_S}, {_S} FROM supplier")
+_selected("path_star", ["region", "nation"], "SELECT ?n ?x { ?n c:n_name ?name . ?n c:n_regionkey* ?x }", f"SELECT {_NATION} AS n, 'urn:region:' || CAST(n_regionkey AS VARCHAR) AS x FROM nation UNION ALL SELECT {_NATION}, {_NATION} FROM nation")
+_selected("path_to_bound_end", _THREE, "SELECT ?x { ?x (c:s_nationkey|c:n_regionkey)+ <urn:region:1> }", f"SELECT {_NATION} AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT {_S} FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
+_selected("path_negated", ["nation"], "SELECT ?n ?x { ?n !(rdf:type|c:n_name) ?x }", f"SELECT {_NATION} AS n, 'urn:region:' || CAST(n_regionkey AS VARCHAR) AS x FROM nation")
+_selected("blank_nodes", ["nation"], "SELECT (COUNT(DISTINCT ?a) AS ?as) (COUNT(DISTINCT ?b) AS ?bs) (MIN(?c) AS ?blank) { ?n c:n_regionkey ?r BIND(BNODE() AS ?a) BIND(BNODE(STR(?r)) AS ?b) BIND(STR(ISBLANK(?a) && ?a != ?b) AS ?c) }", "SELECT CAST(count(*) AS VARCHAR) AS \"as\", CAST(count(*) AS VARCHAR) AS bs, 'true' AS blank FROM nation")
+_selected("term_functions", ["part"], "SELECT ?p ?dt ?same ?cast { ?p c:p_size ?z ; c:p_brand ?brand BIND(DATATYPE(?z) AS ?dt) BIND(STR(SAMETERM(?z, STRDT(STR(?z), xsd:integer))) AS ?same) BIND(xsd:integer(CONCAT(STR(?z), \"0\")) AS ?cast) }", f"SELECT 'urn:part:' || CAST(p_partkey AS VARCHAR) AS p, '{t.XSD_INTEGER}' AS dt, 'true' AS same, CAST(p_size * 10 AS VARCHAR) AS \"cast\" FROM part")
+
 
 @query("construct", "SELECT DISTINCT 'urn:region:' || CAST(n_regionkey AS VARCHAR) AS s, 'urn:p:has' AS p, n_name AS o FROM nation")
 def construct(spark, sf_dir):
@@ -184,16 +200,18 @@ def update_data(spark, sf_dir):
 
 # ------------------------------------------------------------------ differences and fingerprints
 
-#: Graph r of the samples: nations below 20, and those of region r renamed; the root: all nations.
-_SAMPLES_SQL = f"WITH src AS ({_NAT}), root AS (SELECT s, p, o FROM src), samples AS (SELECT CAST(r_regionkey AS VARCHAR) AS graph_id, s, CASE WHEN p = 'urn:col:n_name' AND n_regionkey = r_regionkey THEN 'urn:p:label' ELSE p END AS p, o FROM src JOIN nation ON s = {_NATION} CROSS JOIN region WHERE n_nationkey < 20) "
+_SUP = triples_sql(["supplier"])
+#: The root: all suppliers. Sample r, for each region: those of region r renamed, without those of the next region.
+_SAMPLES_SQL = f"WITH src AS ({_SUP}), root AS (SELECT s, p, o FROM src), samples AS (SELECT CAST(r_regionkey AS VARCHAR) AS graph_id, s, CASE WHEN p = 'urn:col:s_name' AND n_regionkey = r_regionkey THEN 'urn:p:label' ELSE p END AS p, o FROM src JOIN supplier ON s = {_S} JOIN nation ON s_nationkey = n_nationkey CROSS JOIN region WHERE n_regionkey <> (r_regionkey + 1) % 5) "
 
 
 def _samples(spark, sf_dir):
-    root = load_triples(spark, sf_dir, ["nation"], {"nation": F.lit("root")})
-    low = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 20").select(subject_of("nation", F.col("n_nationkey")).alias("s"), F.col("n_regionkey").alias("region"))
+    root = load_triples(spark, sf_dir, ["supplier"], {"supplier": F.lit("root")})
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    placed = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(subject_of("supplier", F.col("s_suppkey")).alias("s"), "region")
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey")
-    rows = root.join(low, "s").crossJoin(F.broadcast(regions))  # a sample for each region: five
-    renamed = F.when((F.col("p") == "urn:col:n_name") & (F.col("region") == F.col("r_regionkey")), "urn:p:label").otherwise(F.col("p"))
+    rows = root.join(placed, "s").crossJoin(F.broadcast(regions)).where("region != (r_regionkey + 1) % 5")  # a sample for each region: five
+    renamed = F.when((F.col("p") == "urn:col:s_name") & (F.col("region") == F.col("r_regionkey")), "urn:p:label").otherwise(F.col("p"))
     return root, rows.withColumn("graph_id", F.col("r_regionkey").cast("string")).withColumn("p", renamed).select("graph_id", *t.TRIPLE)
 
 
@@ -223,7 +241,7 @@ def _term_sql(kind: str, lex: str, dt: str, lang: str) -> str:
 
 
 _SUPPLIER_GRAPHS = triples_sql(["supplier"], {"supplier": _S})
-_FP_SQL = f"SELECT graph_id, md5(string_agg(h, '' ORDER BY h)) AS fp, count(*) AS n FROM (SELECT DISTINCT graph_id, md5('<' || s || '> <' || p || '> ' || {_term_sql('o_kind', 'o', 'o_dt', 'o_lang')}) AS h FROM ({_SUPPLIER_GRAPHS})) GROUP BY graph_id"
+_FP_SQL = f"SELECT graph_id, md5(CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)) AS fp, count(*) AS n FROM (SELECT DISTINCT graph_id, md5('<' || s || '> <' || p || '> ' || {_term_sql('o_kind', 'o', 'o_dt', 'o_lang')}) AS h FROM ({_SUPPLIER_GRAPHS})) GROUP BY graph_id"
 
 
 @query("graph_fingerprint", _FP_SQL)
@@ -233,13 +251,9 @@ def graph_fingerprint(spark, sf_dir):
 
 @query("dedupe_first_wins", "SELECT 'urn:part:' || CAST(p_partkey AS VARCHAR) AS graph_id, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) > 1 AS redundant FROM part")
 def dedupe_first_wins(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = load_triples(spark, sf_dir, ["part"], {"part": subject_of("part", F.col("p_partkey"))})
     same = rows.where(F.col("p").isin("urn:col:p_brand", "urn:col:p_size")).withColumn("s", F.lit("urn:x"))
-    seq = F.substring_index("graph_id", ":", -1).cast("long")
-    found = G.fingerprints(same, blank=False)
-    return found.select("graph_id", (F.row_number().over(Window.partitionBy("fp").orderBy(seq)) > 1).alias("redundant"))
+    return L.first_wins(G.fingerprints(same, blank=False), F.substring_index("graph_id", ":", -1).cast("long"))
 
 
 @query("dictionary_encode", "SELECT row_number() OVER (ORDER BY kind, lex, dt, lang) AS id, kind, lex, dt, lang FROM (SELECT s_kind AS kind, s AS lex, '' AS dt, '' AS lang FROM src UNION SELECT 'iri', p, '', '' FROM src UNION SELECT o_kind, o, o_dt, o_lang FROM src)".replace("FROM src", f"FROM ({triples_sql(_THREE)})"))
@@ -292,6 +306,32 @@ def explore_nodes(spark, sf_dir):
     return n.select("run_id", "node_id", "parent_id", "level", "transformer", F.array_join("applications", " ").alias("applications"), "redundant", "expanded")
 
 
+#: A run for each nation, its sample being the nation's customers.
+_C1 = transformer("urn:t:label", PREFIXES + "ASK { ?s c:c_name ?n }", PREFIXES + "DELETE { ?s c:c_name ?n } INSERT { ?s p:label ?n } WHERE { ?s c:c_name ?n }", "Label")
+_C2 = transformer("urn:t:place", PREFIXES + "ASK { ?s c:c_nationkey ?r }", PREFIXES + "DELETE { ?s c:c_nationkey ?r } INSERT { ?s p:in ?r } WHERE { ?s c:c_nationkey ?r }", "Place")
+
+
+@query("explore_customers", _NODES_SQL.replace("DISTINCT printf('%03d', n_regionkey) AS run_id FROM nation", "DISTINCT printf('%03d', c_nationkey) AS run_id FROM customer") + "SELECT n.run_id, n.node_id, n.parent_id, n.level, n.transformer, coalesce(string_agg(a.application, ' ' ORDER BY a.application), '') AS applications, n.redundant FROM nodes n LEFT JOIN apps a ON n.run_id = a.run_id AND n.node_id = a.node_id GROUP BY ALL")
+def explore_customers(spark, sf_dir):
+    roots = load_triples(spark, sf_dir, ["customer"], {"customer": F.format_string("%03d", F.col("c_nationkey"))}).withColumnRenamed("graph_id", "run_id")
+    n = E.explore(roots, [A1, A2], [_C1, _C2], blank=False).nodes
+    return n.select("run_id", "node_id", "parent_id", "level", "transformer", F.array_join("applications", " ").alias("applications"), "redundant")
+
+
+_OPEN = "ASK { ?s a <urn:table:region> FILTER NOT EXISTS { ?x p:next ?y } }"
+_RING = lambda links: PREFIXES + "INSERT { " + " . ".join(f"_:n{a} p:next _:n{b}" for a, b in links) + " } WHERE { ?s a <urn:table:region> }"
+_R1 = transformer("urn:t:six", PREFIXES + _OPEN, _RING([(i, (i + 1) % 6) for i in range(6)]), "Ring of six")
+_R2 = transformer("urn:t:threes", PREFIXES + _OPEN, _RING([(i, i // 3 * 3 + (i + 1) % 3) for i in range(6)]), "Two rings of three")
+_R3 = transformer("urn:t:again", PREFIXES + _OPEN, _RING([((i * 5 + 2) % 6, (i * 5 + 7) % 6) for i in range(6)]), "Ring of six, otherwise written")
+
+
+@query("explore_rings", "SELECT printf('%03d', r_regionkey) AS run_id, node_id, level, redundant FROM region CROSS JOIN (VALUES ('root', 0, false), ('0_1', 1, false), ('0_2', 1, false), ('0_3', 1, true)) AS x(node_id, level, redundant)")
+def explore_rings(spark, sf_dir):
+    """States that share all colours: a ring of six blank nodes and two rings of three are different, the ring written twice is not."""
+    regions = load_triples(spark, sf_dir, ["region"], {"region": F.format_string("%03d", F.col("r_regionkey"))}).withColumnRenamed("graph_id", "run_id")
+    return E.explore(regions, [], [_R1, _R2, _R3], filter="isomorphic").nodes.select("run_id", "node_id", "level", "redundant")
+
+
 @query("explore_isomorphic", _NODES_SQL + "SELECT run_id, node_id, level, redundant FROM nodes")
 def explore_isomorphic(spark, sf_dir):
     return _explored(spark, sf_dir, filter="isomorphic").nodes.select("run_id", "node_id", "level", "redundant")
@@ -364,11 +404,11 @@ def preorder(spark, sf_dir):
 @query("resume_roundtrip", _NODES_SQL + "SELECT run_id, node_id, parent_id, level, redundant FROM nodes")
 def resume_roundtrip(spark, sf_dir):
     from weftline.operators.checkpoint import load_run, save_run
-    from weftline.operators.storage import shared_folder
+    from weftline.operators.storage import run_folder
     import uuid
 
     half = _explored(spark, sf_dir, level_limit=1)
-    path = f"{shared_folder(spark)}/weftline/run-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/run-{uuid.uuid4().hex}"
     save_run(half, path)
     return _explored(spark, sf_dir, resume=load_run(spark, path)).nodes.select("run_id", "node_id", "parent_id", "level", "redundant")
 
@@ -379,47 +419,47 @@ _ROLL = _NODES_SQL + ", ds AS (SELECT DISTINCT printf('%03d', r_regionkey) AS ru
 
 
 def _rollup_inputs(spark, sf_dir):
-    nodes = cut(_explored(spark, sf_dir).nodes.withColumn("discovery", F.lit("urn:all")))
+    nodes = cut(_explored(spark, sf_dir).nodes.withColumn("definition", F.lit("urn:all")))
     regions = spark.read.parquet(f"{sf_dir}/region.parquet")
-    runs = regions.select(F.lit("urn:all").alias("discovery"), F.format_string("%03d", F.col("r_regionkey")).alias("run_id"), F.format_string("discovery_%03d", F.col("r_regionkey")).alias("path"), subject_of("region", F.col("r_regionkey")).alias("dataset"), F.lit("").alias("endpoint"), F.col("r_name").alias("dataset_label"), (F.col("r_regionkey") * 1500).cast("long").alias("duration_ms"))
+    runs = regions.select(F.lit("urn:all").alias("definition"), F.format_string("%03d", F.col("r_regionkey")).alias("run_id"), F.format_string("run_%03d", F.col("r_regionkey")).alias("path"), subject_of("region", F.col("r_regionkey")).alias("dataset"), F.lit("").alias("endpoint"), F.col("r_name").alias("dataset_label"), (F.col("r_regionkey") * 1500).cast("long").alias("duration_ms"))
     runs = runs.join(nodes.select("run_id").distinct(), "run_id", "left_semi")
-    pipes = P.pipelines(nodes).withColumn("discovery", F.lit("urn:all"))
-    apps = spark.createDataFrame([("urn:all", "urn:a:labels", "Labels"), ("urn:all", "urn:a:map", "Map"), ("urn:all", "urn:a:never", "Never")], "discovery string, application string, application_label string")
-    trans = spark.createDataFrame([("urn:all", "urn:t:label"), ("urn:all", "urn:t:place"), ("urn:all", "urn:t:never")], "discovery string, transformer string")
+    pipes = P.pipelines(nodes).withColumn("definition", F.lit("urn:all"))
+    apps = spark.createDataFrame([("urn:all", "urn:a:labels", "Labels"), ("urn:all", "urn:a:map", "Map"), ("urn:all", "urn:a:never", "Never")], "definition string, application string, application_label string")
+    trans = spark.createDataFrame([("urn:all", "urn:t:label"), ("urn:all", "urn:t:place"), ("urn:all", "urn:t:never")], "definition string, transformer string")
     return nodes, runs, pipes, apps, trans
 
 
-@query("rollup_application", _ROLL + "SELECT 'urn:all' AS discovery, ap.application, ap.application_label, count(DISTINCT ds.dataset) AS datasets, count(a.run_id) AS pipelines FROM ap LEFT JOIN apps a ON ap.application = a.application LEFT JOIN ds ON a.run_id = ds.run_id GROUP BY ap.application, ap.application_label")
+@query("rollup_application", _ROLL + "SELECT 'urn:all' AS definition, ap.application, ap.application_label, count(DISTINCT ds.dataset) AS datasets, count(a.run_id) AS pipelines FROM ap LEFT JOIN apps a ON ap.application = a.application LEFT JOIN ds ON a.run_id = ds.run_id GROUP BY ap.application, ap.application_label")
 def rollup_application(spark, sf_dir):
     _, runs, pipes, apps, _ = _rollup_inputs(spark, sf_dir)
     return R.by_application(runs, pipes, apps)
 
 
-@query("rollup_dataset_application", _ROLL + "SELECT 'discovery_' || ds.run_id AS path, ds.dataset, '' AS endpoint, a.application, 'urn:all' AS discovery, ds.dataset_label, ap.application_label, count(*) AS pipelines FROM apps a JOIN ds ON a.run_id = ds.run_id JOIN ap ON ap.application = a.application GROUP BY ds.run_id, ds.dataset, a.application, ds.dataset_label, ap.application_label")
+@query("rollup_dataset_application", _ROLL + "SELECT 'run_' || ds.run_id AS path, ds.dataset, '' AS endpoint, a.application, 'urn:all' AS definition, ds.dataset_label, ap.application_label, count(*) AS pipelines FROM apps a JOIN ds ON a.run_id = ds.run_id JOIN ap ON ap.application = a.application GROUP BY ds.run_id, ds.dataset, a.application, ds.dataset_label, ap.application_label")
 def rollup_dataset_application(spark, sf_dir):
     _, runs, pipes, apps, _ = _rollup_inputs(spark, sf_dir)
     return R.by_dataset_application(runs, pipes, apps)
 
 
-@query("rollup_dataset", _ROLL + "SELECT 'discovery_' || ds.run_id AS path, ds.dataset, '' AS endpoint, 'urn:all' AS discovery, ds.dataset_label, count(a.application) AS pipelines, count(DISTINCT a.application) AS applications FROM ds LEFT JOIN apps a ON a.run_id = ds.run_id GROUP BY ds.run_id, ds.dataset, ds.dataset_label")
+@query("rollup_dataset", _ROLL + "SELECT 'run_' || ds.run_id AS path, ds.dataset, '' AS endpoint, 'urn:all' AS definition, ds.dataset_label, count(a.application) AS pipelines, count(DISTINCT a.application) AS applications FROM ds LEFT JOIN apps a ON a.run_id = ds.run_id GROUP BY ds.run_id, ds.dataset, ds.dataset_label")
 def rollup_dataset(spark, sf_dir):
     _, runs, pipes, _, _ = _rollup_inputs(spark, sf_dir)
     return R.by_dataset(runs, pipes)
 
 
-@query("rollup_run", _ROLL + "SELECT 'urn:all' AS discovery, (SELECT count(*) FROM apps) AS pipelines, 3 AS applications, (SELECT count(DISTINCT application) FROM apps) AS applications_used, (SELECT count(DISTINCT application) FROM apps) AS applications_in_pipelines, (SELECT count(*) FROM ds) AS datasets, (SELECT count(DISTINCT run_id) FROM nodes WHERE transformer IS NOT NULL) AS datasets_used, (SELECT count(DISTINCT run_id) FROM apps) AS datasets_in_pipelines, 3 AS transformers, (SELECT count(DISTINCT transformer) FROM nodes) AS transformers_used, 2 AS transformers_in_pipelines, (SELECT CAST(sum(CAST(floor(CAST(run_id AS INTEGER) * 1.5) AS BIGINT)) AS BIGINT) FROM ds) AS exploration_seconds, CAST(NULL AS BIGINT) AS total_seconds")
+@query("rollup_run", _ROLL + "SELECT 'urn:all' AS definition, (SELECT count(*) FROM apps) AS pipelines, 3 AS applications, (SELECT count(DISTINCT application) FROM apps) AS applications_used, (SELECT count(DISTINCT application) FROM apps) AS applications_in_pipelines, (SELECT count(*) FROM ds) AS datasets, (SELECT count(DISTINCT run_id) FROM nodes WHERE transformer IS NOT NULL) AS datasets_used, (SELECT count(DISTINCT run_id) FROM apps) AS datasets_in_pipelines, 3 AS transformers, (SELECT count(DISTINCT transformer) FROM nodes) AS transformers_used, 2 AS transformers_in_pipelines, (SELECT CAST(sum(CAST(floor(CAST(run_id AS INTEGER) * 1.5) AS BIGINT)) AS BIGINT) FROM ds) AS exploration_seconds, CAST(NULL AS BIGINT) AS total_seconds")
 def rollup_run(spark, sf_dir):
     nodes, runs, pipes, apps, trans = _rollup_inputs(spark, sf_dir)
-    return R.by_discovery(runs, pipes, apps, trans, nodes)
+    return R.by_definition(runs, pipes, apps, trans, nodes)
 
 
 # ------------------------------------------------------------------ models and settings
 
 
-@query("label_pick", "WITH x AS (SELECT source, lang, max(substring(text, 1, 24)) AS h FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2) SELECT source, coalesce(max(h) FILTER (lang = 'cs'), max(h) FILTER (lang = 'de'), arg_min(h, lang)) AS label FROM x GROUP BY source")
+@query("label_pick", "WITH x AS (SELECT source, lang, max(text) AS h FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2) SELECT source, coalesce(max(h) FILTER (lang = 'cs'), max(h) FILTER (lang = 'de'), arg_min(h, lang)) AS label FROM x GROUP BY source")
 def label_pick(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null and lang is not null and text is not null")
-    triples = docs.select(F.lit("g").alias("graph_id"), F.lit(t.IRI).alias("s_kind"), F.col("source").alias("s"), F.lit("urn:p:title").alias("p"), F.lit(t.LITERAL).alias("o_kind"), F.substring("text", 1, 24).alias("o"), F.lit("").alias("o_dt"), F.col("lang").alias("o_lang"))
+    triples = docs.select(F.lit("g").alias("graph_id"), F.lit(t.IRI).alias("s_kind"), F.col("source").alias("s"), F.lit("urn:p:title").alias("p"), F.lit(t.LITERAL).alias("o_kind"), F.col("text").alias("o"), F.lit("").alias("o_dt"), F.col("lang").alias("o_lang"))
     return t.label_map(triples, "urn:p:title").select(F.col("s").alias("source"), t.pick_label(F.col("texts"), ("cs", "de")).alias("label"))
 
 
@@ -435,29 +475,16 @@ def rdf_list_walk(spark, sf_dir):
     region = F.concat(F.lit("urn:region:"), F.col("n_regionkey").cast("string"))
     links = cells.select(node(F.col("i")).alias("s"), F.when(F.col("last"), t.RDF_NIL).otherwise(node(F.col("i") + 1)).alias("rest"), F.col("n_name").alias("first"))
     heads = cells.where("i = 1").select(region.alias("list"), node(F.col("i")).alias("head"))
-    return walk_lists(heads, links)
-
-
-def walk_lists(heads: DataFrame, links: DataFrame) -> DataFrame:
-    """list, place, item. heads: list, head; links: s, first, rest. All lists advance by one cell a round, until none has a next."""
-    now = cut(heads.select("list", F.col("head").alias("at"), F.lit(0).cast("long").alias("place")))
-    out = None
-    while now.limit(1).count():
-        cells = cut(now.join(links, F.col("at") == F.col("s")))
-        step = cells.select("list", "place", F.col("first").alias("item"))
-        out = step if out is None else out.unionByName(step)
-        now = cut(cells.where(F.col("rest") != t.RDF_NIL).select("list", F.col("rest").alias("at"), (F.col("place") + 1).alias("place")))
-    return out if out is not None else heads.select("list", F.lit(0).cast("long").alias("place"), F.col("head").alias("item")).limit(0)
+    return L.walk_lists(heads, links)
 
 
 @query("group_sort", "SELECT 'urn:region:' || CAST(n_regionkey AS VARCHAR) AS \"group\", string_agg(n_name, '|' ORDER BY lower(n_name), n_name) AS transformers FROM nation GROUP BY n_regionkey")
 def group_sort(spark, sf_dir):
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    rows = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.lower("n_name").alias("k"), F.col("n_name").alias("n")))).alias("x"))
-    return rows.select(subject_of("region", F.col("n_regionkey")).alias("group"), F.array_join(F.col("x.n"), "|").alias("transformers"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(subject_of("region", F.col("n_regionkey")).alias("region"), "n_name")
+    return L.sorted_groups(nations, "region", "n_name").select("group", F.array_join("transformers", "|").alias("transformers"))
 
 
-@query("config_merge", "SELECT * FROM (VALUES ('filter', 'isomorphic'), ('level_limit', '3'), ('output', '/cli'), ('store', 'memory')) AS x(name, value)")
+@query("config_merge", "SELECT * FROM (VALUES ('filter', 'isomorphic'), ('level_limit', '3'), ('output', '/cli'), ('store', 'files')) AS x(name, value)")
 def config_merge(spark, sf_dir):
     """Said on the command line first, then in the definition, then the defaults."""
     from dataclasses import asdict

@@ -140,26 +140,14 @@ class Definition:
     issues: list[str] = field(default_factory=list)
 
 
-_KEYS = {
-    "levelLimit": ("level_limit", int),
-    "output": ("output", str),
-    "filter": ("filter", str),
-    "useDataSampleMapping": ("use_mapping", lambda x: x in ("true", "1")),
-    "store": ("store", str),
-    "resume": ("resume", lambda x: x in ("true", "1")),
-    "discoveryTimeLimit": ("time_limit_minutes", int),
-    "useStrongGroups": ("use_strong_groups", lambda x: x in ("true", "1")),
-    "urlCache": ("url_cache", str),
-}
-
-
-def settings_of(document: Document, node: tuple[str, str]) -> Settings:
-    found = {}
-    for r in document.about(node):
-        name, kind = _KEYS.get(r[2].removeprefix("urn:"), (None, None)) if r[2].startswith("urn:") else (None, None)
-        if name:
-            found[name] = kind(r[4])
-    return Settings(**found)
+def _setting(name: str, text: str):
+    kind = Settings.__annotations__[name]
+    return text in ("true", "1") if "bool" in kind else int(text) if "int" in kind else text
+
+
+def settings_of(document: Document, node: tuple[str, str], vocabulary: Vocabulary) -> Settings:
+    """The settings that the node gives, the last of each."""
+    return Settings(**{vocabulary.settings[r[2]]: _setting(vocabulary.settings[r[2]], r[4]) for r in document.about(node) if r[2] in vocabulary.settings})
 
 
 def load_definition(location: str, vocabulary: Vocabulary, cache: UrlCache | None = None, load: Callable[[str], list[Row]] | None = None) -> Definition:
@@ -184,7 +172,7 @@ def load_definition(location: str, vocabulary: Vocabulary, cache: UrlCache | Non
         found.groups += [reader.group(x) for x in d.objects(node, vocabulary.has_group) if x[0] != LITERAL]
         for x in d.objects(node, vocabulary.definition):
             if x[0] in (IRI, BNODE):
-                found.settings = found.settings.merged(settings_of(d, x))
+                found.settings = found.settings.merged(settings_of(d, x, vocabulary))
 
     follow(location)
     for url in dict.fromkeys(templates):
@@ -215,21 +203,21 @@ def load_definition(location: str, vocabulary: Vocabulary, cache: UrlCache | Non
 
 @dataclass
 class Experiment:
-    discoveries: list[str]
+    definitions: list[str]
     settings: Settings
 
 
 def load_experiment(location: str, vocabulary: Vocabulary, cache: UrlCache | None = None) -> Experiment:
-    """The discoveries of an experiment, one or an RDF list, and its output."""
+    """The definitions of an experiment, one or an RDF list, and its output."""
     d = Document(load_rows(location, cache))
     urls: list[str] = []
     settings = Settings()
     for r in d.rows:
-        if r[2] == vocabulary.has_discovery:
+        if r[2] == vocabulary.has_definition:
             node = (r[3], r[4])
             urls += [x[1] for x in d.items(node)] if d.is_list(node) else [node[1]]
         if r[2] == vocabulary.definition:
-            settings = settings.merged(Settings(output=settings_of(d, (r[3], r[4])).output))
+            settings = settings.merged(Settings(output=settings_of(d, (r[3], r[4]), vocabulary).output))
     return Experiment(urls, settings)
 
 

@@ -32,7 +32,7 @@ VIEWS = {
         View("supplier", "s_suppkey", texts=("s_name",), amounts=("s_acctbal",), references={"s_nationkey": "nation"}),
         View("customer", "c_custkey", texts=("c_name", "c_mktsegment"), amounts=("c_acctbal",), references={"c_nationkey": "nation"}),
         View("part", "p_partkey", texts=("p_name", "p_brand", "p_type"), whole=("p_size",), amounts=("p_retailprice",)),
-        View("documents", "doc_id", texts=("source",), whole=("n_chars",), tagged={"head": "lang", "text": "lang"}),
+        View("documents", "doc_id", texts=("source",), whole=("n_chars",), tagged={"text": "lang"}),
     )
 }
 
@@ -62,8 +62,6 @@ def load_triples(spark: SparkSession, sf_dir: str, tables: list[str], graph_id:
     out = []
     for name in tables:
         rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name == "documents":
-            rows = rows.withColumn("head", F.substring("text", 1, 24))
         out.append(triples_of(rows, VIEWS[name], (graph_id or {}).get(name)))
     return reduce(DataFrame.unionByName, out)
 
@@ -81,6 +79,6 @@ def triples_sql(tables: list[str], graph_id: dict[str, str] | None = None) -> st
         cells += [cell(f"urn:col:{c}", "lit", f"CAST({c} AS VARCHAR)", XSD_INTEGER) for c in v.whole]
         cells += [cell(f"urn:col:{c}", "lit", f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)", XSD_DECIMAL) for c in v.amounts]
         cells += [cell(f"urn:col:{c}", "iri", f"'urn:{t}:' || CAST({c} AS VARCHAR)") for c, t in v.references.items()]
-        cells += [cell(f"urn:col:{c}", "lit", "substring(text, 1, 24)" if c == "head" else c, "", f"coalesce({tag}, '')") for c, tag in v.tagged.items()]
+        cells += [cell(f"urn:col:{c}", "lit", c, "", f"coalesce({tag}, '')") for c, tag in v.tagged.items()]
         parts += [f"SELECT * FROM ({head}{c}) WHERE o IS NOT NULL AND s IS NOT NULL" for c in cells]
     return " UNION ALL ".join(parts)
