@@ -17,9 +17,10 @@ Each candidate is verified on the whole sets of 64-bit shingle hashes. Texts of
 
 1. Each node is verified against three others at most, the least of all that share an anchor with it in three
    orders; copies of one text agree on these, so a group of any size takes rows in proportion to it.
-2. At anchors whose nodes still are in several components, each node outside the largest one is compared with all
-   nodes of other components, and verified against the nearest of each anchor, ``NEAREST`` in all.
-3. What then still is in several components is compared likewise, and every candidate verified.
+2. At the first fingerprint's anchors whose nodes still are in several components, each node outside the largest one
+   is compared with all nodes of other components, and verified against the nearest of each anchor, ``NEAREST`` in all.
+   That links most of a large group's nodes for a quarter of the comparisons.
+3. What then still is in several components at any anchor is compared likewise, and every candidate verified.
 
 Pairs already in one component need no comparison, so nothing is lost by it. An anchor with many nodes is compared
 in blocks of ``BLOCK`` nodes, each pair of blocks by a task of its own.
@@ -320,7 +321,7 @@ def groups(spark: SparkSession, documents: DataFrame, scratch: Scratch | None =
     roots = components(links, scratch)
     scratch.drop(one_at, links_at)
     for every in (False, True):
-        left, paths = _open(open_, nodes, roots, scratch)
+        left, paths = _open(open_ if every else open_.where(F.col("anchor") < 1 << 12 * BLOCKS), nodes, roots, scratch)
         found, found_at = scratch.write(compared(left, every))
         if not every:  # of a node's nearest partners at its anchors, which are bounded in number, the nearest of all
             best = found.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("corr")).alias("far"), "v"))), 1, NEAREST).alias("x"))
