@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, shuffle_width, tidy
 
 #: Lengths of the code's blocks from the lowest bit; what is left of 64 bits is free.
 BLOCKS = (23, 23, 7, 7)
@@ -172,16 +172,18 @@ def _replicated(prints: DataFrame, how: callable, reach: int) -> DataFrame:
 def links(prints: DataFrame, bits: int, scratch: Scratch, dense: int = 64) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp). Every pair that differs in at most ``bits`` bits is linked, directly or over others."""
     reach = -(-bits // 2)
-    met = _replicated(prints, anchors, reach)
-    sizes = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = prints.select("fp").repartition(shuffle_width(scratch.spark), "fp")  # a row becomes many, so rows are spread first
+    met, met_at = scratch.write(_replicated(dealt, anchors, reach))
+    sizes = scratch.table(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = scratch.table(met.join(sizes, "anchor"))
+    scratch.drop(met_at)
     small = shared.where(F.col("n") <= dense)
     a, b = small.select("anchor", F.col("fp").alias("u")), small.select("anchor", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
     pairs = a.join(b, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v")
     crowded = shared.where(F.col("n") > dense).select("fp").distinct()
     # two points within bits / 2 of a third are within bits of each other; an odd threshold's last step goes from point to fingerprint
-    around = _replicated(crowded, points, bits // 2)
+    around = scratch.table(_replicated(crowded, points, bits // 2))
     if bits % 2:
         far = _replicated(crowded, points, reach)
         star = around.groupBy("anchor").agg(F.min("fp").alias("u")).join(far.withColumnRenamed("fp", "v"), "anchor").where(near & (F.col("u") != F.col("v"))).select("u", "v")
@@ -221,10 +223,10 @@ def groups(spark: SparkSession, documents: DataFrame, words: int = 3, bits: int
     prints = scratch.table(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(prints, bits, scratch, dense)
     roots = components(edges, scratch)
-    at = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    at = scratch.table(at)
-    named = at.join(at.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("fp").alias("_fp"), "root", "component")
-    return printed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "mark", "fp", "root", "component")
+    at = scratch.table(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    least = scratch.table(at.groupBy("root").agg(F.min("least").alias("component")))
+    named = scratch.table(at.join(least, "root").select(F.col("fp").alias("own"), "root", "component"))
+    return printed.join(named, F.col("fp") == F.col("own")).select("doc_id", "mark", "fp", "root", "component")
 
 
 def op2_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
