@@ -1,5 +1,6 @@
 """Rows that share ids or have none, images that are none, tokenizers of another kind, names that are taken."""
 
+import hashlib
 import struct
 from collections import Counter
 
@@ -66,6 +67,18 @@ def test_fingerprints_are_the_least_hashes():
         assert sketch.sketch(text).tolist() == sorted(xxhash.xxh3_64_intdigest(s.encode(), 8) for s in shingles)[:128]
 
 
+def test_next_documents_across_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sketch, "RANGE", 1 << 10)
+    texts = {i: f"{i} " * 50 for i in range(0, 900, 3)}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = sketch.op8_fingerprint(spark, spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert out.rdd.getNumPartitions() > 4  # more ranges than shuffles have partitions, by the input's bytes
+    got = {r.doc_id: r.edited_sha256 for r in out.collect()}
+    ids = sorted(texts)
+    cut = {i: len(texts[i]) // 4 for i in ids}
+    assert got == {i: hashlib.sha256((texts[i][: len(texts[i]) - cut[i]] + texts[j][: cut[i]]).encode()).hexdigest() for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
 def test_mix_rates_solve_the_dual(spark):
     """The conditions of the optimum: the odds tilt with size by one multiplier a source, and the rates meet the target."""
     rows = [(i, "w " * ((i * 37) % 200), "abc"[i % 3]) for i in range(600)] + [(None, None, "a")] * 700 + [(7, "a b c", "b")] * 1500

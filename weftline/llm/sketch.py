@@ -163,7 +163,7 @@ def with_next(documents: DataFrame, make: callable, schema: T.StructType) -> Dat
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # about RANGE bytes of the input's files for each range, and no fewer ranges than shuffles have partitions
-    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # arrives as an int or as an object of the JVM
     parts = max(shuffle_width(documents.sparkSession), min(size // RANGE, MOST_RANGES) if size < 1 << 60 else 0)  # beyond: not known
     cuts, nulls = _ranges(rows, parts)
     n = max(1, len(cuts))
