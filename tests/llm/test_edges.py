@@ -111,6 +111,15 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert got == Counter([(1, "first", 2, 1), (1, "second", 2, 1), (2, "", 1, 1), (3, f"{line}\nx", 2, 0), (None, "", 1, 1), (None, "y", 2, 1), (4, rows[6][1], 1, 0), (4, rows[6][1], 1, 0), (5, rows[6][1], 1, 0)])
 
 
+def test_lines_are_joined_alike_at_any_size(spark, capsys):
+    docs = spark.createDataFrame([(i, f"a line of more than twenty characters\nline {i}") for i in range(9)], "doc_id long, text string")
+    out = lines.dedup_lines(spark, docs)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sum(r.n_dropped for r in out.collect()) == 8
+
+
 def test_line_sql_says_the_same(spark, tmp_path):
     import duckdb
 

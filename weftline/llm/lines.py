@@ -142,14 +142,15 @@ def dedup_lines(spark: SparkSession, documents: DataFrame, min_chars: int = 20,
     n_lines = spare_name(names, "n_lines")
     n_dropped = spare_name([*names, n_lines], "n_dropped")
     own, drops, of, of_mark = (spare_name(names, x) for x in ("own", "drops", "of", "of_mark"))
-    hit = found.join(repeated, KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # joins by sort at any size: lists that follow the input are not broadcast while they happen to be small
+    hit = found.join(repeated.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # a text's own lines only, so the lists are as bounded as the texts
     lists = hit.groupBy(F.col("doc_id").alias(of), F.col("mark").alias(of_mark)).agg(F.collect_set(F.struct(*KEY)).alias(drops))
     lists = scratch.table(lists)
     scratch.drop(found_at, repeated_at)
     rows = documents.withColumn("text", F.col("text").cast("string"))
     mine = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(of_mark))
-    joined = rows.withColumn(own, mark).join(lists, mine, "left").select(*names, drops)
+    joined = rows.withColumn(own, mark).join(lists.hint("merge"), mine, "left").select(*names, drops)
     schema = T.StructType([*rows.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     at = names.index("text")
 
