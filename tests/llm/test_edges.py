@@ -1,6 +1,7 @@
 """Rows that share ids or have none, images that are none, tokenizers of another kind, names that are taken."""
 
 import hashlib
+import random
 import struct
 from collections import Counter
 
@@ -8,9 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from test_operators import made_up, words_of
+from test_operators import brute_substrings, made_up, words_of
 
-from weftline.llm import langid, lines, media, mixing, packing, sketch
+from weftline.llm import langid, lines, media, mixing, packing, sketch, suffixes
 
 
 def bmp(pixels, depth, masks=None, palette=None, top_down=False):
@@ -120,6 +121,40 @@ def test_lines_are_joined_alike_at_any_size(spark, capsys):
     assert sum(r.n_dropped for r in out.collect()) == 8
 
 
+@pytest.mark.parametrize("length,kgram,crowd", [(100, 24, 3), (30, 8, 0), (4, 2, 1)])
+def test_substrings_of_crowded_kgrams(spark, length, kgram, crowd):
+    rng = random.Random(length)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop é") for _ in range(n))
+    common, longer = say(60), say(140)
+    rows = [(i, say(rng.randint(0, 80)) + (common if i % 2 else longer[rng.randint(0, 40) :]) + rng.choice("xy") + say(rng.randint(0, 80))) for i in range(80)]
+    got = suffixes.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, kgram, crowd).collect()
+    want = brute_substrings(rows, length)
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 1000
+
+
+@pytest.mark.parametrize("kinds", [5, 3000])
+def test_sort_of_one_crowd_follows_its_repeated_strings(monkeypatch, kinds):
+    n, rng = 3000, random.Random(1)
+    tails = ["".join(rng.choice("abcdefgh") for _ in range(20)).encode() for _ in range(kinds)]
+    texts = [b"p" * 50 + b"q" * 50 + tails[i % kinds] for i in range(n)]
+    searched, extension = [], suffixes.SuffixOrder.extension
+    monkeypatch.setattr(suffixes.SuffixOrder, "extension", lambda self, a, b: searched.append(len(a)) or extension(self, a, b))
+    sort = lambda: suffixes.sort_contexts(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, 60 << 16 | 40 << 8 | 60), texts, 100)
+    found = sort()
+    assert sum(searched) < 300 * n  # 1,300 or more if all of them are compared
+    seen, want = set(), []
+    for i, x in enumerate(texts):
+        again = [a for a in range(21) if x[a : a + 100] in seen]
+        seen.update(x[a : a + 100] for a in range(21))
+        if again:
+            assert again == list(range(len(again)))
+            want.append((i, 0, 0, again[-1] + 100))
+    assert list(zip(*(c.tolist() for c in found), strict=True)) == want
+    monkeypatch.setattr(suffixes, "STRINGS", 2 * n)  # two starts at a time
+    assert all((a == b).all() for a, b in zip(sort(), found, strict=True))
+
+
 def test_line_sql_says_the_same(spark, tmp_path):
     import duckdb
 

@@ -14,8 +14,12 @@ have equal anchors at equal places, so only strings anchored alike have to be so
    what is left alone is dropped. Anchors with different contexts remain: the ends of repeats.
 3. For those the context's bytes are fetched, and the strings anchored alike are sorted: a mergesort
    whose comparisons find the common extension of two suffixes by binary search over prefix polynomial
-   hashes. Neighbours that agree over the whole length are verified byte by byte; all but the first of
-   a class are covered.
+   hashes. Strings whose hash no other has are left out, as they equal none. Neighbours that agree over
+   the whole length are verified byte by byte; all but the first of a class are covered, and only the
+   first goes on through the sort. Contexts of a k-gram that has more
+   than ``crowd`` of them are cut into runs of strings of up to a fifth of ``length`` neighbouring
+   starts, each dealt by k-gram, place and the bytes that all strings of the run share: equal strings
+   share those too, so they meet, but no longer where all others of the k-gram are.
 4. The covered runs of each document are united and cut out.
 
 Contexts in steps 1 and 2 are told apart by two independent 64-bit hashes (of the k-gram and of the
@@ -28,6 +32,8 @@ read.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +47,10 @@ BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 LEAST = -(1 << 63)
-#: Bytes of contexts that are sorted at a time (a k-gram's contexts always together).
-SORTED = 1 << 22
+#: Bytes of contexts that are sorted at a time (contexts dealt alike always together), and strings of them.
+SORTED, STRINGS = 1 << 22, 1 << 20
+#: Contexts of a k-gram from which on they are dealt by the bytes around it too.
+CROWD = 256
 #: Documents' anchors that a bucket is meant to hold.
 BUCKET_DOCS = 2000
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("m", "<i8"), ("x", "<i8")])
@@ -67,7 +75,10 @@ def prefix_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """n + 1 sums of byte times BASE to its place (``at``, or its index)."""
     up, _ = _powers(max(2, 1 << int(len(data) if at is None else 4096).bit_length()))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * (up[: len(data)] if at is None else up[at]), out=out[1:])
+    for i in range(0, len(data), BLOCK):
+        part = slice(i, min(len(data), i + BLOCK))
+        np.cumsum((data[part].astype(np.uint64) + np.uint64(1)) * up[part if at is None else at[part]], out=out[part.start + 1 : part.stop + 1])
+        out[part.start + 1 : part.stop + 1] += out[i]
     return out
 
 
@@ -177,13 +188,13 @@ def united(d: np.ndarray, m: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     return d[at], m[at], begin[at], reach[stop] - owner[stop] * wide
 
 
-#: kind 0: a covered run [a, b) of document (d, m); kind 1: an anchor to sort, hash a and place, reach b.
+#: kind 0: a covered run [a, b) of document (d, m); kind 1: an anchor to sort, hash a and place, reach b; kind 2: one of a crowded hash.
 FOUND = "kind int, d long, m long, a long, b long"
 
 
-def _found(kind: int, d, m, a, b) -> pa.RecordBatch:
+def _found(kind: int | np.ndarray, d, m, a, b) -> pa.RecordBatch:
     n = len(d)
-    arrays = [pa.array(np.full(n, kind, np.int32))] + [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (d, m, a, b)]
+    arrays = [pa.array(np.broadcast_to(kind, n).astype(np.int32))] + [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (d, m, a, b)]
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "d", "m", "a", "b"])
 
 
@@ -194,11 +205,15 @@ class SuffixOrder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.place = np.arange(len(self.data)) - np.repeat(self.begin, sizes)
+        self.place = (np.arange(len(self.data)) - np.repeat(self.begin, sizes)).astype(np.int16)
         self.hashes = prefix_hashes(self.data, self.place)
         self.down = _powers(4096)[1]
         self.length = length
 
+    def hashed(self, at: np.ndarray) -> np.ndarray:
+        """The hash of the whole length."""
+        return (self.hashes[at + self.length] - self.hashes[at]) * self.down[self.place[at]]
+
     def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         x = (self.hashes[a + n] - self.hashes[a]) * self.down[self.place[a]]
         y = (self.hashes[b + n] - self.hashes[b]) * self.down[self.place[b]]
@@ -215,43 +230,58 @@ class SuffixOrder:
         return low
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1."""
-        common = self.extension(a, b)
-        inside = common < self.length
-        at = np.minimum(common, self.length - 1)
-        x, y = self.data[a + at].astype(np.int16), self.data[b + at].astype(np.int16)
-        return np.where(inside, np.sign(x - y), 0)
-
-    def mergesort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """A stable order of the suffixes ``at`` within each run of equal ``group``; merges all pairs of runs of a level at once."""
-        n = len(at)
-        order = np.arange(n)
-        new = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
-        starts = np.nonzero(new)[0]
-        sizes = np.diff(np.concatenate([starts, [n]]))
-        base, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-        width = 1
-        while n and (act := np.nonzero(size > width)[0]).size:
-            place = act - base[act]
-            run = place // width
-            other = run ^ 1
-            low = np.minimum(other * width, size[act])
-            high = np.minimum(low + width, size[act])
-            first, right = low.copy(), run % 2 == 1
-            mine = at[order[act]]
+        """-1, 0 or 1; only what differs is searched for its first difference."""
+        sign = np.zeros(len(a), np.int16)
+        differ = np.nonzero(~self.equal(a, b, np.int64(self.length)))[0]
+        a, b = a[differ], b[differ]
+        common = np.minimum(self.extension(a, b), self.length - 1)
+        sign[differ] = np.sign(self.data[a + common].astype(np.int16) - self.data[b + common])
+        return sign
+
+    def mergesort(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, again, before): the distinct suffixes of ``at`` in order within each run of equal ``group``, and which ones equal one ahead of them in it.
+
+        Merges all pairs of runs of a level at once. Of equal suffixes in a merged run only the first of ``at`` goes on, so
+        the levels shrink to the distinct ones.
+        """
+        order = np.arange(len(at))
+        of, starts = group, np.arange(len(at) + 1)  # of each run its group and where it begins
+        number = starts[:-1] - np.searchsorted(group, group)  # in its group
+        again, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(of):
+            right = number % 2 == 1
+            other = np.where(right, np.arange(len(of)) - 1, np.arange(len(of)) + 1)
+            paired = right.copy()
+            paired[:-1] |= right[1:]
+            if not paired.any():
+                break
+            sizes = np.diff(starts)
+            run = np.repeat(np.arange(len(of)), sizes)
+            act = np.nonzero(paired[run])[0]
+            run = run[act]
+            low, high = starts[other[run]], starts[other[run] + 1]
+            first, late, mine = low, right[run], at[order[act]]
+            low, high = low.copy(), high.copy()
             while (open_ := np.nonzero(low < high)[0]).size:
                 mid = (low[open_] + high[open_]) >> 1
-                theirs = at[order[base[act[open_]] + mid]]
-                sign = self.compare(theirs, mine[open_])
-                before = (sign < 0) | ((sign == 0) & right[open_])  # of equal ones the left run's come first
-                low[open_] = np.where(before, mid + 1, low[open_])
-                high[open_] = np.where(before, high[open_], mid)
-            to = base[act] + (run // 2) * 2 * width + (place - run * width) + (low - first)
+                sign = self.compare(at[order[mid]], mine[open_])
+                ahead = (sign < 0) | ((sign == 0) & late[open_])  # of equal ones the left run's come first
+                low[open_] = np.where(ahead, mid + 1, low[open_])
+                high[open_] = np.where(ahead, high[open_], mid)
             moved = order.copy()
-            moved[to] = order[act]
-            order = moved
-            width *= 2
-        return order
+            moved[starts[np.minimum(run, other[run])] + (act - starts[run]) + (low - first)] = order[act]
+            order, of, number, starts = moved, of[~right], number[~right] >> 1, starts[np.append(~right, True)]
+            begins = np.zeros(len(order) + 1, bool)
+            begins[starts] = True
+            near = act[~begins[act]]  # those with a neighbour ahead in their merged run
+            same = near[self.equal(at[order[near - 1]], at[order[near]], np.int64(self.length))]
+            again.append(order[same])
+            before.append(order[same - 1])
+            kept = np.ones(len(order), bool)
+            kept[same] = False
+            starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+            order = order[kept]
+        return order, np.concatenate(again), np.concatenate(before)
 
     def verified(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the strings at a and b are equal byte by byte."""
@@ -264,26 +294,34 @@ class SuffixOrder:
 
 def sort_contexts(h: np.ndarray, d: np.ndarray, m: np.ndarray, x: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(d, m, begin, end) of the strings in these contexts that are not the first of their class."""
-    p, lo, hi = x >> 16, x >> 8 & 0xFF, x & 0xFF
-    each = hi - lo + 1
-    of = np.repeat(np.arange(len(h)), each)
-    lead = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + lo[of]  # how far ahead of the anchor the string starts
     suffixes = SuffixOrder(texts, length)
-    at = suffixes.begin[of] + hi[of] - lead
+    step = max(1, STRINGS // max(1, len(h)))  # starts at a time: strings that start in different places before the anchor never meet
+    parts = [_sort_starts(suffixes, h, d, m, x, first, first + step - 1, length) for first in range(0, int((x & 0xFF).max()) + 1 if len(h) else 0, step)]
+    return united(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 4
+
+
+def _sort_starts(suffixes: SuffixOrder, h, d, m, x, least: int, most: int, length: int) -> tuple[np.ndarray, ...]:
+    """The same for the strings that start ``least`` to ``most`` bytes ahead of the anchor."""
+    p, begin = x >> 16, np.maximum(x >> 8 & 0xFF, least)
+    each = np.maximum(np.minimum(x & 0xFF, most) - begin + 1, 0)
+    of = np.repeat(np.arange(len(h)), each)
+    lead = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + begin[of]  # how far ahead of the anchor the string starts
+    at = suffixes.begin[of] + (x & 0xFF)[of] - lead
+    # a string that shares its hash, k-gram and start with no other equals none, and need not be sorted
+    mark = _mixed(suffixes.hashed(at) + _mixed(h[of].view(np.uint64) + lead.astype(np.uint64)))
+    o = np.argsort(mark)
+    same = mark[o[1:]] == mark[o[:-1]]
+    may = np.zeros(len(of), bool)
+    may[o[1:][same]] = may[o[:-1][same]] = True
+    of, lead, at = of[may], lead[may], at[may]
     o = np.lexsort((p[of], m[of], d[of], lead, h[of]))
     of, lead, at = of[o], lead[o], at[o]
     group = np.concatenate([[False], (h[of[1:]] != h[of[:-1]]) | (lead[1:] != lead[:-1])]).cumsum() if len(of) else np.zeros(0, np.int64)
-    order = suffixes.mergesort(at, group)
-    of, lead, at, group = of[order], lead[order], at[order], group[order]
-    if len(at) < 2:
-        return (np.zeros(0, np.int64),) * 4
-    near = np.nonzero(group[1:] == group[:-1])[0]
-    like = near[suffixes.equal(at[near], at[near + 1], np.full(len(near), length))]
-    sure = suffixes.verified(at[like], at[like + 1])
-    if not sure.all():  # two strings of equal hash: those groups are settled by their bytes
+    _, again, before = suffixes.mergesort(at, group)
+    if not suffixes.verified(at[again], at[before]).all():  # two strings of equal hash: those groups are settled by their bytes
         return _by_bytes(suffixes, of, lead, at, group, d, m, p, length)
-    hit = like + 1
-    j, s = of[hit], p[of[hit]] - lead[hit]
+    j = of[again]
+    s = p[j] - lead[again]
     return united(d[j], m[j], s, s + length)
 
 
@@ -300,7 +338,18 @@ def _by_bytes(suffixes: SuffixOrder, of, lead, at, group, d, m, p, length: int)
     return united(d[j], m[j], s, s + length)
 
 
-def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int) -> DataFrame:
+def crowded_runs(text: bytes, h: int, x: int, length: int):
+    """(key, x, context) of a context's runs of neighbouring starts; equal strings have equal keys."""
+    p, lo, hi = x >> 16, x >> 8 & 0xFF, x & 0xFF
+    width = max(1, length // 5)
+    for first in range(lo - lo % width, hi + 1, width):
+        shared = text[p - first : p - first - width + 1 + length]  # by all strings that start first to first + width - 1 bytes ahead
+        key = xxhash.xxh3_64_intdigest(shared, seed=(h ^ first) & _M)
+        a, b = max(lo, first), min(hi, first + width - 1)
+        yield key - (key >> 63 << 64), p << 16 | a << 8 | b, text[p - b : p - a + length]
+
+
+def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int, crowd: int = CROWD) -> DataFrame:
     """d, m, runs (list of begin, end): the covered bytes of the documents (d, m, text) that have any."""
     scratch = Scratch(spark, "suffixes")
     # the number of buckets follows the rows; a bucket's blobs are settled together
@@ -349,9 +398,10 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
         rows = rows[first]
         new = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
         sizes = np.diff(np.concatenate([np.nonzero(new)[0], [len(rows)]]))
-        rows = rows[np.repeat(sizes, sizes) > 1]
+        sizes = np.repeat(sizes, sizes)
+        rows, kind = rows[sizes > 1], 1 + (sizes[sizes > 1] > crowd)
         if len(rows):
-            yield _found(1, rows["d"], rows["m"], rows["h"], rows["x"])
+            yield _found(kind, rows["d"], rows["m"], rows["h"], rows["x"])
 
     def meet(batches):
         now, held = None, []
@@ -372,7 +422,7 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
     dealt = texts.mapInArrow(tidy(find), "bucket long, blob binary").repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket")
     found = scratch.table(dealt.mapInArrow(tidy(meet), FOUND))
 
-    ends = found.where("kind = 1").groupBy("d", "m").agg(F.collect_list(F.struct("a", "b")).alias("marks"))  # bounded by the text
+    ends = found.where("kind > 0").groupBy("d", "m").agg(F.collect_list(F.struct("kind", "a", "b")).alias("marks"))  # bounded by the text
 
     def fetch(batches):
         for whole in batches:
@@ -381,9 +431,12 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
                 for d, m, text, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     data = text.encode()
                     for mark in marks or ():
-                        p, lo, hi = mark["b"] >> 16, mark["b"] >> 8 & 0xFF, mark["b"] & 0xFF
-                        for col, v in zip(out, (mark["a"], d, m, mark["b"], data[p - hi : p - lo + length]), strict=True):
-                            col.append(v)
+                        h, x = mark["a"], mark["b"]
+                        p, lo, hi = x >> 16, x >> 8 & 0xFF, x & 0xFF
+                        runs = crowded_runs(data, h, x, length) if mark["kind"] == 2 else [(h, x, data[p - hi : p - lo + length])]
+                        for h, x, context in runs:
+                            for col, v in zip(out, (h, d, m, x, context), strict=True):
+                                col.append(v)
                 if out[0]:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "d", "m", "x", "context"])
@@ -393,6 +446,10 @@ def repeated_runs(spark: SparkSession, texts: DataFrame, length: int, kgram: int
         size = 0
 
         def done(rows: list[tuple]) -> pa.RecordBatch | None:
+            crowds = [list(same) for _, same in groupby(rows, itemgetter(0))]
+            rows = [r for same in crowds if len(same) > 1 for r in same]  # alone, it equals nothing
+            if not rows:
+                return None
             h, d, m, x, context = zip(*rows, strict=True)
             runs = sort_contexts(np.array(h), np.array(d), np.array(m), np.array(x), list(context), length)
             return _found(0, *runs) if len(runs[0]) else None
@@ -424,12 +481,12 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), mark.alias("m"), text.alias("text"))
 
 
-def dedup_substrings(spark: SparkSession, documents: DataFrame, length: int = 100, kgram: int = 24) -> DataFrame:
+def dedup_substrings(spark: SparkSession, documents: DataFrame, length: int = 100, kgram: int = 24, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, spans (list of begin, end of the maximal removed runs), kept (the remaining bytes)."""
     if not 1 <= kgram <= length or length - kgram > 255:
         raise ValueError("kgram must be at most length, and at most 255 below it")
     texts = keyed(documents)
-    runs = repeated_runs(spark, texts, length, kgram)
+    runs = repeated_runs(spark, texts, length, kgram, crowd)
 
     def cut(batches):
         for whole in batches:
