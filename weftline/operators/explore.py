@@ -29,7 +29,7 @@ from weftline.plans.compiler import Compiler
 
 from . import graphs as g
 from .prune import strong_groups
-from .storage import SampleStore, cut
+from .storage import SampleStore, cut, distinct
 
 FILTERS = ("none", "diff", "isomorphic")
 
@@ -158,9 +158,9 @@ class Timers(dict):
 
 
 def _fingerprints(triples: DataFrame, roots: DataFrame, how: str, blank: bool) -> DataFrame:
-    """graph_id, fp, n by the filter's notion of sameness; roots: triples with run_id, of each run's root."""
+    """graph_id, fp by the filter's notion of sameness; triples: a set; roots: triples with run_id, of each run's root."""
     if how != "diff" or not blank:  # of ground graphs, those that add the same to and lack the same of their root are equal
-        return g.fingerprints(triples, blank).select("graph_id", "fp")
+        return g.fingerprints(triples, blank, sets=True).select("graph_id", "fp")
     ids = triples.select("graph_id").distinct()
     found = g.fingerprints(_compared(triples, roots, how), blank).select("graph_id", "fp")
     return ids.join(found, "graph_id", "left").withColumn("fp", F.coalesce("fp", F.md5(F.lit(""))))
@@ -248,7 +248,8 @@ def explore(
 
 def _run(roots, applications, transformers, rules, filter, level_limit, groups, prefix, blank, runs, listeners, resume, include_root, store, timers) -> Result:
     ids = (runs if runs is not None else roots).select("run_id").distinct()
-    roots = cut(roots.select("run_id", *TRIPLE).distinct())
+    roots = roots.select("run_id", *TRIPLE)
+    roots = cut(distinct(roots, roots.count()))
     if resume is None:
         root = ids.select(
             "run_id",
@@ -375,12 +376,12 @@ def _children(nodes: DataFrame, queue: DataFrame | None, triples: DataFrame, tra
 
 def _rewritten(work: DataFrame, parents: DataFrame, transformers: list[Transformer], rules: list, prefix: str, level: int) -> DataFrame:
     """The children's graphs: each transformer's rule on all its parents' graphs."""
-    out = []
+    out, size = [], parents.count()
     for i, operations in enumerate(rules):
         mine = work.where(F.col("transformer_idx") == i).select(F.concat_ws("|", "run_id", "parent_id").alias("graph_id"), F.concat_ws("|", "run_id", "node_id").alias("child"))
         rows = parents.join(mine, "graph_id").select(F.col("child").alias("graph_id"), *TRIPLE)
         ids = mine.select(F.col("child").alias("graph_id"))
-        out.append(g.update(rows, operations, ids, salt=f"r{i}-"))
+        out.append(g.update(rows, operations, ids, salt=f"r{i}-", size=size))
     return reduce(DataFrame.unionByName, out)
 
 

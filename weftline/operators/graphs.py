@@ -14,13 +14,13 @@ from weftline.functions.terms import BNODE, TRIPLE
 from weftline.plans import sparql as q
 from weftline.plans.compiler import Compiler
 
-from .storage import cut
+from .storage import cut, distinct
 
 KEY = ["graph_id", *TRIPLE]
 
 
-def update(triples: DataFrame, operations: str | list[q.Modify], graphs: DataFrame | None = None, salt: str = "u") -> DataFrame:
-    """Every graph after the update. WHERE sees the state before; deletes come before inserts; the result is a set."""
+def update(triples: DataFrame, operations: str | list[q.Modify], graphs: DataFrame | None = None, salt: str = "u", size: int = 0) -> DataFrame:
+    """Every graph after the update. WHERE sees the state before; deletes come before inserts; the result is a set. size: about how many triples there are."""
     if isinstance(operations, str):
         operations = q.parse_update(operations)
     now = triples
@@ -36,7 +36,7 @@ def update(triples: DataFrame, operations: str | list[q.Modify], graphs: DataFra
             now = now.join(deleted.select(*KEY).distinct(), KEY, "left_anti")
         if op.insert:
             now = now.unionByName(inserted)
-    return now.select(*KEY).distinct()
+    return distinct(now.select(*KEY), size)
 
 
 def added(samples: DataFrame, root: DataFrame) -> DataFrame:
@@ -82,9 +82,10 @@ def _total(h: str) -> Column:
     return F.concat_ws("|", part(1), part(16), F.count(F.lit(1)).cast("string"))
 
 
-def ground_fingerprints(triples: DataFrame, by: list[str] = ["graph_id"]) -> DataFrame:  # noqa: B006
-    """graph_id, fp, n: equal for equal sets of triples."""
-    one = triples.select(*by, F.md5(_encoded(_s(), _o())).alias("h")).distinct()
+def ground_fingerprints(triples: DataFrame, by: list[str] = ["graph_id"], sets: bool = False) -> DataFrame:  # noqa: B006
+    """graph_id, fp, n: equal for equal sets of triples. sets: no graph has a triple twice."""
+    one = triples.select(*by, F.md5(_encoded(_s(), _o())).alias("h"))
+    one = one if sets else one.distinct()
     return one.groupBy(*by).agg(F.md5(_total("h")).alias("fp"), F.count(F.lit(1)).alias("n"))
 
 
@@ -113,10 +114,10 @@ def _with_colours(rows: DataFrame, colours: DataFrame) -> DataFrame:
     return joined.select(*KEY, F.coalesce(mark("s_colour"), _s()).alias("s_key"), F.coalesce(mark("o_colour"), _o()).alias("o_key"))
 
 
-def fingerprints(triples: DataFrame, blank: bool = True, rounds: int = 4) -> DataFrame:
+def fingerprints(triples: DataFrame, blank: bool = True, rounds: int = 4, sets: bool = False) -> DataFrame:
     """graph_id, fp, n: equal for isomorphic graphs. Different graphs with blank nodes may share one; ``isomorphism_classes`` settles those."""
     if not blank:
-        return ground_fingerprints(triples)
+        return ground_fingerprints(triples, sets=sets)
     return _of_keys(coloured(triples, rounds))
 
 

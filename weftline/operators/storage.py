@@ -12,6 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of which one task may hold the different ones; parts up to which the writer of a shuffle keeps no rows in memory.
+TASK_ROWS, MOST_PARTS = 250_000, 200
+
 _own: dict[str, str] = {}
 
 
@@ -43,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def distinct(rows: DataFrame, n: int) -> DataFrame:
+    """The different rows of about n. Many are dealt out before they are compared: a task that reads a file has whole row groups, and would hold all that comes of them."""
+    parts = min(n // TASK_ROWS + 1, MOST_PARTS)
+    return (rows.repartition(parts, *rows.columns) if parts > 1 else rows).distinct()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at, system = _system(spark, path)
     system.delete(at, True)
